@@ -1,0 +1 @@
+"""Reserved. The analytics here are batch jobs; nothing in scope is a stream."""
