@@ -74,69 +74,54 @@ def minimal_features(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def trailing_wide(
+def window_features_long(
     panel: DataFrame,
     spec: PanelSpec,
     windows: Sequence[int] = WINDOWS,
     statistics: Sequence[str] = STATISTICS,
+    with_recency: bool = True,
 ) -> DataFrame:
-    """Side columns plus `{var}_{stat}_{w}`; meant for a few variables or statistics."""
-    rows = with_halo(panel.select(*spec.side, *spec.variables), spec.hour, max(windows) - 1)
-    w = W.partitionBy(*spec.key, BLOCK).orderBy(spec.hour)
-    cols = [
-        trailing(s, v, spec.hour, w.rowsBetween(-(n - 1), 0)).alias(f"{v}_{s}_{n}")
-        for n in windows
-        for v in spec.variables
-        for s in statistics
-    ]
-    return rows.select(*spec.side, HALO, *cols).filter(~F.col(HALO)).drop(HALO)
-
-
-def window_features_long(
-    panel: DataFrame, spec: PanelSpec, windows: Sequence[int] = WINDOWS
-) -> DataFrame:
-    """All statistics, one row per (entity, hour, variable).
+    """Trailing statistics, one row per (entity, hour, variable).
 
     Only the wide rows are shuffled, once, by (site, entity, block). Turning
     them long with a generator keeps that partitioning, and so do the windows
     by variable, which run with small generated code.
     """
-    wide = with_halo(
-        panel.select(*spec.side, *spec.model_static, *spec.variables), spec.hour, max(windows) - 1
-    )
-    at_block = wide.repartition(*spec.key, BLOCK).join(
-        _last_measured(spec, panel, values=False), [*spec.key, BLOCK]
-    )
+    carried = [*spec.side, *[c for c in spec.model_static if c not in spec.side]]
+    wide = with_halo(panel.select(*carried, *spec.variables), spec.hour, max(windows) - 1)
+    at_block = wide.repartition(*spec.key, BLOCK)
+    if with_recency:
+        before = _last_measured(spec, panel, values=False)
+        at_block = at_block.join(before, [*spec.key, BLOCK])
     readings = F.array(
         *[
             F.struct(
                 F.lit(i).alias("var_index"),
                 F.lit(v).alias("variable"),
                 F.col(v).cast("double").alias("x"),
-                F.col(f"_ph_{v}").alias("_before"),
+                (F.col(f"_ph_{v}") if with_recency else F.lit(None).cast("int")).alias("_before"),
             )
             for i, v in enumerate(spec.variables)
         ]
     )
-    carried = [*spec.side, *spec.model_static]
     long = at_block.select(*carried, BLOCK, HALO, F.inline(readings))
     w = W.partitionBy(*spec.key, BLOCK, "var_index").orderBy(spec.hour)
-    at = F.when(F.col("x").isNotNull(), F.col(spec.hour))
-    last_at = F.coalesce(
-        F.last(at, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.col("_before")
-    )
+    recency_cols = []
+    if with_recency:
+        at = F.when(F.col("x").isNotNull(), F.col(spec.hour))
+        upto = w.rowsBetween(W.unboundedPreceding, 0)
+        last_at = F.coalesce(F.last(at, ignorenulls=True).over(upto), F.col("_before"))
+        recency_cols = [
+            missing_flag(F.col("x")).alias("missing"),
+            (F.col(spec.hour) - last_at).cast("int").alias("hours_since_measured"),
+        ]
     stats = [
         trailing(s, "x", spec.hour, w.rowsBetween(-(n - 1), 0)).alias(f"{s}_{n}")
         for n in windows
-        for s in STATISTICS
+        for s in statistics
     ]
     return (
-        long.select(
-            *carried, BLOCK, HALO, "var_index", "variable",
-            missing_flag(F.col("x")).alias("missing"),
-            (F.col(spec.hour) - last_at).cast("int").alias("hours_since_measured"),
-            *stats,
-        )
+        long.select(*carried, BLOCK, HALO, "var_index", "variable", *recency_cols, *stats)
         .filter(~F.col(HALO))
         .drop(HALO)
     )
