@@ -86,19 +86,21 @@ def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_panel(spark: SparkSession, sf_dir: str, scores: bool = False) -> DataFrame:
     """The labelled panel; with `scores` also the trailing counts and both scores."""
     grid = event_grid(spark, sf_dir)
-    lookback = LOOKBACK - 1 if scores else 0
+    lookback = LOOKBACK if scores else 0
     before = prior_summary(
         grid, list(ENTITY), hour_block(F.col("hour")), {"_errors": (F.sum("n_errors"), "sum")}
     )
     rows = with_halo(grid, "hour", lookback).join(before, [*ENTITY, BLOCK])
     w = W.partitionBy(*ENTITY, BLOCK).orderBy("hour")
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
     own = F.when(~F.col(HALO), F.col("n_errors")).otherwise(0)
-    upto = F.sum(own).over(w.rowsBetween(W.unboundedPreceding, 0))
-    cols = [(upto + F.coalesce("_errors", F.lit(0))).alias("ecum")]
+    cols = [(F.sum(own).over(upto) + F.coalesce("_errors", F.lit(0))).alias("ecum")]
     if scores:
+        # Counts are whole numbers, so a trailing sum is a difference of running sums.
+        rows = rows.withColumn("_n", F.sum("n_events").over(upto))
         cols += [
-            F.sum("n_events").over(w.rowsBetween(-23, 0)).alias("n24"),
-            F.sum("n_events").over(w.rowsBetween(-(LOOKBACK - 1), 0)).alias("n72"),
+            (F.col("_n") - F.coalesce(F.lag("_n", n).over(w), F.lit(0))).alias(name)
+            for name, n in (("n24", 24), ("n72", LOOKBACK))
         ]
     panel = (
         rows.select("site", "user_id", "hour", "eh", *EVENT_TYPES, "n_events", "n_errors", HALO, *cols)

@@ -188,9 +188,8 @@ def b9(spark, sf):
 
 @register(
     "b10_row_sample",
-    f"""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
-ORDER BY md5('{SEED}:' || l_orderkey || ':' || l_linenumber), l_orderkey, l_linenumber LIMIT 4000""",
+    f"""SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('{SEED}:' || o_orderkey), o_orderkey LIMIT 4000""",
 )
 def b10(spark, sf):
-    rows = B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return C.sample_rows(rows, ["l_orderkey", "l_linenumber"], 4000)
+    rows = B.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return C.sample_rows(rows, ["o_orderkey"], 4000)
