@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stayline.functions.expr import seeded_hash
+from stayline.functions.expr import hash_block, seeded_hash
+from stayline.operators.blocks import row_numbers
 from stayline.operators.metrics import rank_metrics
 from stayline.spec import CONFIG
 
@@ -291,18 +292,17 @@ def _active() -> SparkSession:
 
 
 def permuted(design: DataFrame, column: str, keys: Sequence[str], seed: int = CONFIG.seed) -> DataFrame:
-    """`column` moved to other rows: rotated by one in md5 order inside hash cells.
+    """`column` moved to other rows: each row takes the value of the next one in md5 order.
 
-    Deterministic, and spread over even cells instead of one global order.
+    The order is built over even hash cells, and the values travel by a join on
+    the rank, so no task holds the whole order.
     """
     h = seeded_hash(seed, F.lit(column), *[F.col(k) for k in keys])
-    cells = design.withColumn("_h", h).withColumn("_c", F.substring("_h", 1, 4))
-    w = W.partitionBy("_c").orderBy("_h", *keys)
-    every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    # A struct keeps null values apart from "no next row".
-    boxed = F.struct(F.col(column).alias("v"))
-    moved = F.coalesce(F.lead(boxed).over(w), F.first(boxed).over(every))
-    return cells.withColumn(column, moved["v"]).drop("_h", "_c")
+    ranked = row_numbers(design.withColumn("_h", h), [], ["_h", *keys], hash_block(F.col("_h")), "_r")
+    n = design.count()
+    source = ranked.select((F.pmod(F.col("_r"), F.lit(n)) + 1).alias("_r"), F.col(column).alias("_v"))
+    others = [F.col("_v").alias(c) if c == column else F.col(c) for c in design.columns]
+    return ranked.join(source, "_r").select(*others)
 
 
 def permutation_importance(

@@ -62,7 +62,10 @@ def read_raw(spark: SparkSession, root: str, spec: PanelSpec = PanelSpec(), site
 
 
 def list_files(spark: SparkSession, root: str, sites=CONFIG.sites) -> DataFrame:
-    """(site, name, length) of every record file; contents are not read."""
+    """(site, name, length) of every record file; contents are not read.
+
+    Spark's file sources skip files of zero bytes, so those are not listed.
+    """
     listed = spark.read.format("binaryFile").load(paths(root, sites))
     return listed.select(
         site_from_path(F.col("path"), sites).alias("site"),

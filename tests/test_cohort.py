@@ -1,0 +1,100 @@
+import pytest
+from pyspark.sql import functions as F
+
+from stayline.operators import cohort as C
+from stayline.operators import profile as P
+from stayline.spec import PanelSpec
+
+SPEC = PanelSpec()
+
+
+def ids(df):
+    return sorted(r["patient_id"] for r in df.select("patient_id").distinct().collect())
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    return spark.range(100).select(
+        F.format_string("p%06d", "id").alias("patient_id"), F.when(F.col("id") < 63, "A").otherwise("B").alias("site")
+    ).cache()
+
+
+def test_inclusion_drops_whole_stays(cohort):
+    kept = C.apply_inclusion(cohort, SPEC)
+    assert set(ids(cohort)) - set(ids(kept)) == {"p000004", "p000005", "p100004"}
+    assert kept.filter("patient_id = 'p000003'").count() == 8
+    report = {r["site"]: r for r in C.inclusion_report(cohort, SPEC).collect()}
+    assert report["A"]["patients_dropped"] == 2 and report["A"]["hours_dropped"] == 8
+    assert report["A"]["flagged"] == 1
+
+
+def test_split_sizes_and_disjointness(people):
+    splits = C.split_sites(people, SPEC)
+    n = {r["split"]: r["count"] for r in splits.groupBy("split").count().collect()}
+    assert n == {"a_train": 50, "a_val": 13, "b_train": 30, "b_eval": 7}
+    C.assert_disjoint(splits, SPEC)
+    twice = splits.unionByName(splits.filter("split = 'a_val'").withColumn("split", F.lit("a_train")))
+    with pytest.raises(AssertionError, match="splits"):
+        C.assert_disjoint(twice, SPEC)
+
+
+def test_split_depends_on_ids_and_seed_only(people):
+    def train(df, seed):
+        return ids(C.split_entities(df, SPEC, {"A": 0.8}, {"A": ("t", "v")}, seed).filter("split = 't'"))
+
+    base = train(people, 1)
+    assert base == train(people.orderBy(F.rand(4)).repartition(7).union(people), 1)
+    assert base != train(people, 2)
+
+
+def test_split_keeps_both_sides(people):
+    two = people.filter("patient_id < 'p000002'")
+    for f in (0.01, 0.99):
+        got = C.split_entities(two, SPEC, {"A": f}, {"A": ("t", "v")})
+        assert sorted(r["split"] for r in got.collect()) == ["t", "v"]
+    with pytest.raises(ValueError):
+        C.split_entities(two, SPEC, {"A": 1.0}, {"A": ("t", "v")})
+    with pytest.raises(ValueError, match="site B"):
+        C.require_sites(two, SPEC, "A", "B")
+
+
+def test_held_out_site_warns_every_time(people):
+    for _ in range(2):
+        with pytest.warns(UserWarning, match="held out"):
+            assert C.held_out(people, SPEC).count() == 37
+
+
+def test_draws(people):
+    one = ids(C.draw_entities(people, SPEC, 10, C.draw_seed(10, 0)))
+    assert len(one) == 10 and one == ids(C.draw_entities(people.repartition(5), SPEC, 10, C.draw_seed(10, 0)))
+    assert one != ids(C.draw_entities(people, SPEC, 10, C.draw_seed(10, 1)))
+    with pytest.raises(ValueError, match="cannot draw"):
+        C.draw_entities(people, SPEC, 101, 1)
+    drawn = C.draw_entities(people, SPEC, 10, 1)
+    with pytest.raises(AssertionError):
+        C.assert_adaptation_disjoint(drawn, people, SPEC)
+    C.assert_adaptation_disjoint(drawn, people.join(drawn, SPEC.key, "left_anti"), SPEC)
+
+
+def test_violations(spark):
+    rows = [("A", "a", 1.0, 0.0), ("A", "a", 1.0, 1.0), ("A", "b", None, 2.0), ("A", "c", 1.0, None), ("A", "d", 1.0, 0.0)]
+    raw = spark.createDataFrame(rows, "site string, patient_id string, ICULOS double, SepsisLabel double")
+    got = {(r["patient_id"], r["rule"]): r["n_rows"] for r in C.read_violations(raw, SPEC).collect()}
+    assert got == {("a", "clock_duplicate"): 1, ("b", "clock_null"): 1, ("b", "label_not_binary"): 1, ("c", "label_null"): 1}
+    with pytest.raises(ValueError):
+        C.require_valid(raw, SPEC)
+    assert C.require_valid(raw.filter("patient_id = 'd'"), SPEC).count() == 1
+
+
+def test_profile(cohort):
+    counts = {r["site"]: r["n_patients"] for r in P.cohort_counts(cohort, SPEC).collect()}
+    assert counts == {"A": 11, "B": 3, "all": 14}
+    labels = {r["site"]: r for r in P.label_semantics(cohort, SPEC).collect()}
+    assert labels["A"]["positive_patients"] == 3 and labels["A"]["onset_at_zero"] == 1
+    assert labels["A"]["non_monotone"] == 0 and labels["A"]["median_first_positive_hour"] == 20
+    shape = {r["site"]: r for r in P.record_structure(cohort, SPEC).collect()}
+    assert shape["A"]["with_gaps"] == 0 and shape["A"]["late_starts"] == 1 and shape["A"]["latest_start"] == 5
+    out = {r["variable"]: r["n_out"] for r in P.plausible_range(cohort, "site", SPEC.variables).filter("site = 'A'").collect()}
+    assert out["HR"] == 1 and out["SBP"] >= 1 and out["Temp"] >= 1
+    missing = {r["variable"]: r["missing_pct"] for r in P.missingness(cohort.filter("patient_id = 'p000007'"), SPEC).collect()}
+    assert missing["Lactate"] == 100.0 and missing["HR"] < 100.0
