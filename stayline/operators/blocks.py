@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from stayline.functions.expr import COARSE_SHIFT
 
 BLOCK = "_block"
+COARSE = "_coarse"
 HALO = "_halo"
 BLOCK_HOURS = 512
 
 
 def hour_block(hour: Column, size: int = BLOCK_HOURS) -> Column:
-    return F.floor(hour / F.lit(size)).cast("int")
+    return F.floor(hour / F.lit(size)).cast("bigint")
 
 
 def with_halo(df: DataFrame, hour: str, lookback: int, size: int = BLOCK_HOURS) -> DataFrame:
@@ -38,6 +39,15 @@ def with_halo(df: DataFrame, hour: str, lookback: int, size: int = BLOCK_HOURS)
     return df.select("*", F.explode(blocks).alias(BLOCK)).withColumn(HALO, F.col(BLOCK) != own)
 
 
+def _cell(block: Column) -> Column:
+    """A block number that cannot be null.
+
+    Otherwise the joins below would push null filters into one branch only, and
+    the branches could not share the exchange under them.
+    """
+    return F.coalesce(block.cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def prior_summary(
     df: DataFrame,
     keys: Sequence[str],
@@ -47,18 +57,37 @@ def prior_summary(
     """Per (keys, block): each summary folded over all earlier blocks.
 
     `summary` maps an output name to (aggregate, fold) with fold `sum` or
-    `last` (latest non-null). Rows reaching the window are block summaries.
+    `last` (latest non-null). Only block summaries reach a window, and those
+    are folded in two levels (blocks, then groups of 4096 blocks).
     """
-    per_block = df.withColumn(BLOCK, block).groupBy(*keys, BLOCK).agg(
-        *[agg.alias(name) for name, (agg, _) in summary.items()]
+    folds = {n: fold for n, (_, fold) in summary.items()}
+    per_block = (
+        df.withColumn(BLOCK, _cell(block))
+        .groupBy(*keys, BLOCK)
+        .agg(*[agg.alias(n) for n, (agg, _) in summary.items()])
+        .withColumn(COARSE, F.shiftright(F.col(BLOCK), COARSE_SHIFT))
     )
-    before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    folds = {
-        "sum": lambda n: F.sum(n).over(before),
-        "last": lambda n: F.last(n, ignorenulls=True).over(before),
+
+    def folded(frame: DataFrame, partition: Sequence[str], by: str, prefix: str) -> DataFrame:
+        w = W.partitionBy(*partition).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        over = {"sum": lambda n: F.sum(n).over(w), "last": lambda n: F.last(n, ignorenulls=True).over(w)}
+        cols = [over[fold](n).alias(prefix + n) for n, fold in folds.items()]
+        return frame.select(*dict.fromkeys([*partition, by]), *cols)
+
+    totals = {
+        "sum": lambda n: F.sum(n),
+        "last": lambda n: F.max_by(n, F.when(F.col(n).isNotNull(), F.col(BLOCK))),
     }
-    return per_block.select(
-        *keys, BLOCK, *[folds[fold](name).alias(name) for name, (_, fold) in summary.items()]
+    per_coarse = per_block.groupBy(*keys, COARSE).agg(*[totals[f](n).alias(n) for n, f in folds.items()])
+    near = folded(per_block, [*keys, COARSE], BLOCK, "_f_")
+    far = folded(per_coarse, keys, COARSE, "_c_")
+
+    def joined(n: str, fold: str) -> Column:
+        f, c = F.col("_f_" + n), F.col("_c_" + n)
+        return F.coalesce(f + c, f, c) if fold == "sum" else F.coalesce(f, c)
+
+    return near.join(far, [*keys, COARSE]).select(
+        *keys, BLOCK, *[joined(n, fold).alias(n) for n, fold in folds.items()]
     )
 
 
@@ -80,8 +109,8 @@ def running_totals(
     Adds `cum_<value>`, and with `with_next` the following order value.
     """
     sort = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    fine, coarse = BLOCK, "_coarse"
-    cells = df.withColumn(fine, block).withColumn(coarse, F.shiftright(F.col(fine), COARSE_SHIFT))
+    fine, coarse = BLOCK, COARSE
+    cells = df.withColumn(fine, _cell(block)).withColumn(coarse, F.shiftright(F.col(fine), COARSE_SHIFT))
     edge = (F.max if descending else F.min)(order)
 
     def before(*partition, by):
@@ -134,7 +163,7 @@ def row_numbers(
 
     `block` must not decrease with the first order column.
     """
-    cells = df.withColumn(BLOCK, block)
+    cells = df.withColumn(BLOCK, _cell(block))
     offsets = prior_summary(df, keys, block, {"_off": (F.count(F.lit(1)), "sum")})
     w = W.partitionBy(*keys, BLOCK).orderBy(*order)
     return cells.join(offsets, [*keys, BLOCK]).select(

@@ -127,40 +127,53 @@ def window_features_long(
     )
 
 
-def feature_arrays(
-    panel: DataFrame, spec: PanelSpec, windows: Sequence[int] = WINDOWS
-) -> DataFrame:
-    """Side columns plus `features`: one double array in the frozen column order.
+def _by_hour(panel: DataFrame, spec: PanelSpec, windows: Sequence[int]) -> DataFrame:
+    """Side columns, statics, and `_v`: one array of values per variable.
 
     The per-variable rows of an hour already sit in one partition, so this
     grouping adds no shuffle; a group is as long as the variable list.
     """
     long = window_features_long(panel, spec, windows)
-    per_var = F.struct(
-        "var_index",
-        F.array(F.col("missing").cast("double"), F.col("hours_since_measured").cast("double")).alias("r"),
-        *[F.array(*[f"{s}_{n}" for s in STATISTICS]).alias(f"w{n}") for n in windows],
-    )
-    carried = [c for c in (spec.label, *spec.model_static)]
+    values = ["missing", "hours_since_measured", *[f"{s}_{n}" for n in windows for s in STATISTICS]]
+    per_var = F.struct("var_index", F.array(*[F.col(c).cast("double") for c in values]).alias("a"))
+    carried = [c for c in (spec.label, *spec.model_static) if c not in spec.key]
     grouped = long.groupBy(*spec.key, BLOCK, spec.hour).agg(
-        *[F.first(c).alias(c) for c in carried],
-        F.sort_array(F.collect_list(per_var)).alias("_v"),
+        *[F.first(c).alias(c) for c in carried], F.sort_array(F.collect_list(per_var)).alias("_v")
     )
-    parts = [F.flatten(F.col("_v.r"))] + [F.flatten(F.col(f"_v.w{n}")) for n in windows]
     statics = F.array(*[F.col(c).cast("double") for c in spec.model_static])
-    return grouped.select(*spec.side, F.concat(*parts, statics).alias("features"))
+    return grouped.select(*spec.side, F.col("_v.a").alias("_v"), statics.alias("_s"))
 
 
-def spread(arrays: DataFrame, spec: PanelSpec, names: Sequence[str]) -> DataFrame:
-    """Name every slot of `features` as its own column."""
-    return arrays.selectExpr(*spec.side, *[f"features[{i}] AS `{n}`" for i, n in enumerate(names)])
+def feature_arrays(
+    panel: DataFrame, spec: PanelSpec, windows: Sequence[int] = WINDOWS
+) -> DataFrame:
+    """Side columns plus `features`: one double array in the frozen column order."""
+    width = len(STATISTICS)
+
+    def part(start: int, length: int) -> Column:
+        return F.flatten(F.transform("_v", lambda a: F.slice(a, start, length)))
+
+    parts = [part(1, 2)] + [part(3 + i * width, width) for i in range(len(windows))]
+    return _by_hour(panel, spec, windows).select(*spec.side, F.concat(*parts, "_s").alias("features"))
 
 
 def window_features(
     panel: DataFrame, spec: PanelSpec, windows: Sequence[int] = WINDOWS
 ) -> DataFrame:
-    """The full wide set, in frozen order."""
-    return spread(feature_arrays(panel, spec, windows), spec, spec.window_feature_columns(windows))
+    """The full wide set, in frozen order; every column is a plain array access."""
+    n, width = len(spec.variables), len(STATISTICS)
+    slots = [f"_v[{v}][{j}]" for v in range(n) for j in (0, 1)]
+    slots += [
+        f"_v[{v}][{2 + i * width + j}]"
+        for i in range(len(windows))
+        for v in range(n)
+        for j in range(width)
+    ]
+    slots += [f"_s[{i}]" for i in range(len(spec.model_static))]
+    names = spec.window_feature_columns(windows)
+    return _by_hour(panel, spec, windows).selectExpr(
+        *spec.side, *[f"{slot} AS `{name}`" for slot, name in zip(slots, names, strict=True)]
+    )
 
 
 def design_matrix(

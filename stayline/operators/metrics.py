@@ -193,7 +193,7 @@ def reliability(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
         F.avg("score").alias("mean_prediction"),
         F.avg(F.col("label").cast("double")).alias("positive_rate"),
     )
-    present = scored.select(*groups).distinct()
+    present = filled.select(*groups).distinct()
     all_bins = present.select(*groups, F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bin"))
     names = F.array(*[F.lit(f"{a:.2f}-{b:.2f}") for a, b in zip(BIN_EDGES, BIN_EDGES[1:])])
     return all_bins.join(filled, [*groups, "bin"], "left").select(

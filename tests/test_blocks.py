@@ -77,3 +77,12 @@ def test_threshold_bucket_has_no_off_by_one(spark):
     rows = spark.createDataFrame([(s,) for s in scores], "s double").select("s", threshold_bucket(F.col("s")).alias("k"))
     for r in rows.collect():
         assert r["k"] == sum(r["s"] >= k / 100 for k in range(1, 101))
+
+
+def test_prior_summary_across_coarse_blocks(spark):
+    """Blocks far apart fall into different groups of blocks."""
+    rows = [("a", b, i, None if i == 2 else i) for i, b in enumerate([0, 5, 4096, 4100, 9000])]
+    df = spark.createDataFrame(rows, "k string, b long, v long, x long")
+    out = BL.prior_summary(df, ["k"], F.col("b"), {"s": (F.sum("v"), "sum"), "l": (F.max("x"), "last")})
+    got = {r[BL.BLOCK]: (r["s"], r["l"]) for r in out.collect()}
+    assert got == {0: (None, None), 5: (0, 0), 4096: (1, 1), 4100: (3, 1), 9000: (6, 3)}
