@@ -66,6 +66,8 @@ def prior_summary(
         .groupBy(*keys, BLOCK)
         .agg(*[agg.alias(n) for n, (agg, _) in summary.items()])
         .withColumn(COARSE, F.shiftright(F.col(BLOCK), COARSE_SHIFT))
+        # Both levels read this exchange, so what lies under it runs once.
+        .repartition(*keys, COARSE)
     )
 
     def folded(frame: DataFrame, partition: Sequence[str], by: str, prefix: str) -> DataFrame:
@@ -119,7 +121,7 @@ def running_totals(
 
     per_fine = cells.groupBy(*keys, coarse, fine).agg(
         *[F.sum(v).alias(v) for v in values], edge.alias("_edge")
-    )
+    ).repartition(*keys, coarse)
     w_fine, fine_before = before(*keys, coarse, by=fine)
     in_coarse = per_fine.select(
         *keys, coarse, fine,

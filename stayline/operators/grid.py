@@ -13,13 +13,13 @@ SPAN = 4096
 def dense_hours(hourly: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """(keys, time, hour) for every hour of each entity, hour counted from 0.
 
-    Hours are exploded in two steps, so a very long stay is spread as spans
-    and no row ever holds its whole sequence.
+    Hours are exploded in two steps with the spans dealt out in between, so a
+    very long stay is written by many tasks and no row holds its whole sequence.
     """
     bounds = hourly.groupBy(*keys).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"))
     spans = bounds.select(
         *keys, "_t0", "_t1", F.explode(F.sequence("_t0", "_t1", F.lit(SPAN).cast("bigint"))).alias("_s")
-    )
+    ).repartition(*keys, "_s")
     stop = F.least(F.col("_s") + F.lit(SPAN - 1), F.col("_t1"))
     return spans.select(*keys, "_t0", F.explode(F.sequence("_s", stop)).alias(time)).select(
         *keys, time, (F.col(time) - F.col("_t0")).cast("int").alias("hour")
