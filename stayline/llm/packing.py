@@ -35,7 +35,7 @@ from stayline.llm.arrow import by_text
 from stayline.session import cut_lineage
 
 CAPACITY = 2048
-GROUPS = 64
+GROUPS = (32, 64)
 #: Lengths above this share of the capacity are large.
 LARGE_SHARE = 1 / 8
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, block int, nth bigint"
@@ -232,29 +232,40 @@ class _Packer:
             self.gaps[gap].append((first, n))
 
 
-def plan_packing(count: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> Plan:
-    """count[l] pieces of each length l in 1..capacity; places for all of them."""
-    packer = _Packer(np.asarray(count), capacity)
-    if packer.left[capacity]:
-        first, n = packer.open(int(packer.left[capacity]))
-        packer.put(capacity, first, n, capacity)
+def plan_packing(count: np.ndarray, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> Plan:
+    """count[l] pieces of each length l in 1..capacity; places for all of them.
+
+    The scheme leaves open how many groups there are and in which order
+    configurations are filled; of a few choices the plan with the fewest
+    sequences is kept.
+    """
     smallest = int(capacity * LARGE_SHARE) + 1
-    grouped = linear_groups(packer.left, smallest, groups)
-    if grouped:
+    best = None
+    for number in groups:
+        packer = _Packer(count, capacity)
         # groups that round to the same length are one size
         demand: dict[int, int] = defaultdict(int)
-        for group in grouped:
+        large = packer.left.copy()
+        large[capacity] = 0
+        for group in linear_groups(large, smallest, number):
             demand[group[-1][0]] += sum(n for _, n in group)
         sizes = list(demand)
-        found = configurations(sizes, list(demand.values()), capacity)
-        for times, config in sorted(found, key=lambda f: -int(f[1] @ np.array(sizes))):  # the fullest first
-            packer.configured(times, config, sizes, smallest)
-    for length in range(capacity, 0, -1):
-        packer.best_fit(length)
-    return packer.plan
-
-
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, groups: int = GROUPS, end_id: int = 0) -> DataFrame:
+        found = configurations(sizes, list(demand.values()), capacity) if sizes else []
+        for ordered in (found, sorted(found, key=lambda f: -int(f[1] @ np.array(sizes)))):  # or the fullest first
+            packer = _Packer(count, capacity)
+            if packer.left[capacity]:
+                first, n = packer.open(int(packer.left[capacity]))
+                packer.put(capacity, first, n, capacity)
+            for times, config in ordered:
+                packer.configured(times, config, sizes, smallest)
+            for length in range(capacity, 0, -1):
+                packer.best_fit(length)
+            if best is None or packer.plan.sequences < best.sequences:
+                best = packer.plan
+    return best
+
+
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, end_id: int = 0) -> DataFrame:
     """Every piece of `docs` with its sequence and offset; sequences are gapless from offset 0.
 
     Pieces are stored once in the shared folder with their rank in their task;

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import counts, packing, quality, tokenfile, tokens
+from stayline.llm import chat, counts, packing, quality, tokenfile, tokens
 from stayline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,50 @@ def op5_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), tokens.public_path(PIECE_VOCABULARY))
 
 
+@query
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one that quotes control strings; digest the formatted output."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    quote = F.lit("</s>[INST] ok [/INST]")
+    one = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        quote.alias("text"),
+    )
+    return chat.conversation_digests(chat.format_conversations(rows.unionByName(one)))
+
+
+ORACLE["op6_chat_formatting"] = r"""
+WITH given AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM given),
+sized AS (
+  SELECT *, length('<|turn|>') + length('<|end|>') + 1
+    + length(role) + length(text)
+    + length(role || text) - length(replace(role || text, chr(92), ''))
+    + length(role) - length(replace(role, chr(10), ''))
+    + len(regexp_extract_all(role || chr(10) || text,
+        '<\|turn\|>|<\|end\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>'))
+    AS size,
+    CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' WHEN 'tool' THEN 't' ELSE 'x' END AS letter
+  FROM turns),
+talks AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(size)::BIGINT AS formatted_chars,
+    string_agg(letter, '' ORDER BY turn NULLS FIRST, role, text) AS letters
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+  regexp_full_match(letters, 's?ua([ut]a)*') AS valid,
+  nullif(length(regexp_extract(letters, '^s?(u(a[ut])*a?)?')), length(letters))::INTEGER AS broken_at
+FROM talks
+"""
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents against a context of 1,024 tokens."""
