@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,7 +26,7 @@ def slices(batch: pa.RecordBatch, sizes: list[int], limit: int = SLICE_BYTES) ->
 def by_text(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """`slices` by the bytes of a string column."""
     at = batch.schema.get_field_index(column)
-    sizes = pa.compute.binary_length(batch.column(at)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(at)).fill_null(0).to_pylist()
     yield from slices(batch, sizes, limit)
 
 

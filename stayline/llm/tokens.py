@@ -27,7 +27,7 @@ import pyarrow as pa
 from stayline.llm.words import buffer_of, hash_spans
 
 #: Distinct segments kept by a worker; when full the store starts again.
-STORE_SEGMENTS = 800_000
+STORE_SEGMENTS = 300_000
 #: Fixed value: the pre-token pattern of byte-level BPE with `use_regex`.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -134,7 +134,7 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = load_tokenizer(path)
+        self.path, self._tokenizer = path, None
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.store = SegmentStore()
         ranks = _ordered_ranks(spec)
@@ -149,6 +149,13 @@ class Encoder:
             by_length = sorted(self.added, key=len, reverse=True)
             self.special = re.compile("(" + "|".join(map(re.escape, by_length)) + ")") if by_length else None
 
+    @property
+    def tokenizer(self):
+        """The library's own object, loaded where it is needed."""
+        if self._tokenizer is None:
+            self._tokenizer = load_tokenizer(self.path)
+        return self._tokenizer
+
     def ids(self, text: str) -> np.ndarray:
         """The ids of one text."""
         if self.fast is None:
