@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +109,7 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS, overlap:
 
     def run(batch: pa.RecordBatch) -> dict:
         column = batch.column(1).fill_null("")
-        sizes = pa.compute.utf8_length(column).to_numpy(zero_copy_only=False)
+        sizes = pc.utf8_length(column).to_numpy(zero_copy_only=False)
         counts, chunks, widened = (np.full(len(column), v, np.int64) for v in (0, 1, 0))
         whole = model and crosses_words(path)
         huge = np.flatnonzero(sizes > chunk) if not whole else np.zeros(0, np.int64)
@@ -116,7 +117,7 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS, overlap:
             for i in np.setdiff1d(np.arange(len(column)), huge).tolist():
                 counts[i] = len(tokens.piece_words(path).model.encode(column[i].as_py(), num_threads=1))
         else:
-            short = pa.compute.if_else(pa.array(sizes <= chunk), column, "")
+            short = pc.if_else(pa.array(sizes <= chunk), column, "")
             _, counts[:] = tokens.encoder(path).slice(short, want_ids=False)
         if len(huge):
             starts = _model_starts(path) if model else _json_starts(path)
@@ -126,7 +127,7 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK_CHARS, overlap:
                 )
         return {
             "doc_id": batch.column(0),
-            "n_bytes": pa.compute.binary_length(column).cast(pa.int64()),
+            "n_bytes": pc.binary_length(column).cast(pa.int64()),
             "n_tokens": counts,
             "n_chunks": chunks,
             "n_widened": widened,

@@ -113,7 +113,7 @@ def scripts(data: np.ndarray, offsets: np.ndarray) -> list[str]:
 def fertility(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per row: tokens of its words, how many of them are byte fallbacks, relative token entropy (1 for one token)."""
     data, offsets = buffer_of(column)
-    starts, ends, rows = cut_words(data, offsets, SPACE ^ True)
+    starts, ends, rows = cut_words(data, offsets, ~SPACE)
     pieces = tokens.piece_words(path)
     ids, counts = pieces.slice(data, starts, ends)
     per_row = row_bounds(np.repeat(rows, counts), len(column))

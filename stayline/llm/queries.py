@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import chat, counts, linededup, packing, quality, tokenfile, tokens
+from stayline.llm import chat, counts, linededup, neardup, packing, quality, tokenfile, tokens
 from stayline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents against a context of 1,024 tokens."""
     rows = counts.token_counts(documents(spark, sf_dir), tokens.public_path(BYTE_VOCABULARY))
     return rows.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of all documents."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
