@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import chat, counts, linededup, neardup, packing, quality, tokenfile, tokens
+from stayline.llm import chat, counts, linededup, mixing, neardup, packing, quality, tokenfile, tokens
 from stayline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,73 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def study_mix() -> mixing.Mix:
+    """Half of all tokens; curated sources and Spanish weigh more than they have, so shortages occur."""
+    crawl = F.length("source") == 4
+    return mixing.Mix(
+        levels={"domain": F.when(crawl, "crawl").when(F.col("source").isNotNull(), "curated"), "lang": F.col("lang"), "source": F.col("source")},
+        tokens=mixing.word_tokens(F.col("text")),
+        weights={
+            "crawl": 2, "curated": 5, "crawl/en": 6, "crawl/de": 2, "crawl/fr": 2, "crawl/es": 1, "crawl/en/src0": 3,
+            "curated/en": 2, "curated/de": 2, "curated/fr": 2, "curated/es": 4, "curated/es/src10": 9,
+        },
+        epochs=2, seed=11,
+    )
+
+
+@query
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a weighted mix of all sources and how often each is used."""
+    chosen = mixing.select(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), study_mix())
+    return chosen.select("doc_id", "lang", "source", "tokens", "budget", "copies")
+
+
+def _share_sql(children: str, parent: str) -> str:
+    """`children` has path, most, weight and given (the parent's budget); siblings agree on `parent`."""
+    return f"""(
+  SELECT *, CASE WHEN filled THEN most
+      ELSE least(most, (greatest(first_open.rest, 0)::HUGEINT * weight // first_open.behind)::BIGINT) END AS budget
+  FROM (SELECT *, min(CASE WHEN NOT filled THEN {{'turn': turn, 'rest': rest, 'behind': behind}} END) OVER (PARTITION BY {parent}) AS first_open
+    FROM (SELECT *, rest > 0 AND rest::HUGEINT * weight >= most::HUGEINT * behind AS filled
+      FROM (SELECT *, row_number() OVER o AS turn, given - coalesce(sum(most) OVER b, 0) AS rest,
+              sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER b, 0) AS behind
+        FROM {children}
+        WINDOW o AS (PARTITION BY {parent} ORDER BY most / weight, path),
+          b AS (PARTITION BY {parent} ORDER BY most / weight, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))))"""
+
+
+def mix_sql(table: str) -> str:
+    """The study mix of `table` as common table expressions; `chosen` has all columns, tokens, budget and copies."""
+    mix = study_mix()
+    weights = ", ".join(f"('{k}', {v})" for k, v in mix.weights.items())
+    nodes = """(SELECT n.*, coalesce(w.weight, 1) AS weight FROM (
+      SELECT {path} AS path, {keep}, sum(tokens)::BIGINT * {epochs} AS most FROM leaves GROUP BY ALL) n LEFT JOIN weights w ON n.path = w.name)"""
+    level = [nodes.format(path=p, keep=k, epochs=mix.epochs) for p, k in (("p1", "p1"), ("p2", "p1, p2"), ("p3", "p1, p2, p3"))]
+    return f"""
+sized AS (
+  SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
+    coalesce(CASE WHEN length(source) = 4 THEN 'crawl' WHEN source IS NOT NULL THEN 'curated' END, 'unknown') AS p1,
+    p1 || '/' || coalesce(lang, 'unknown') AS p2, p2 || '/' || coalesce(source, 'unknown') AS p3 FROM {table}),
+weights(name, weight) AS (VALUES {weights}),
+leaves AS (SELECT p1, p2, p3, sum(tokens)::BIGINT AS tokens FROM sized GROUP BY ALL),
+whole AS (SELECT least(sum(tokens) * {mix.share[0]} // {mix.share[1]}, sum(tokens) * {mix.epochs})::BIGINT AS given FROM leaves),
+b1 AS (SELECT path AS p1, budget AS given FROM {_share_sql(f"(SELECT * FROM {level[0]}, whole)", "1")}),
+b2 AS (SELECT path AS p2, budget AS given FROM {_share_sql(f"(SELECT * FROM {level[1]} JOIN b1 USING (p1))", "p1")}),
+b3 AS (SELECT path AS p3, budget FROM {_share_sql(f"(SELECT * FROM {level[2]} JOIN b2 USING (p2))", "p2")}),
+plan AS (SELECT p3, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole_epochs,
+  budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM leaves JOIN b3 USING (p3)),
+keyed AS (SELECT *, md5('{mix.seed}:' || whole_epochs::VARCHAR || ':' || coalesce(doc_id::VARCHAR, md5(text), '')) AS key FROM sized JOIN plan USING (p3)),
+last AS (SELECT p3, max(key) AS last_key FROM (
+    SELECT p3, key, rest, n, sum(n) OVER (PARTITION BY p3 ORDER BY key) - n AS before
+    FROM (SELECT p3, key, rest, sum(tokens)::BIGINT AS n FROM keyed WHERE rest > 0 GROUP BY ALL) WHERE n > 0)
+  WHERE before < rest GROUP BY p3),
+chosen AS (SELECT *, (whole_epochs + coalesce((key <= last_key)::BIGINT, 0))::BIGINT AS copies
+  FROM keyed LEFT JOIN last USING (p3) WHERE whole_epochs + coalesce((key <= last_key)::BIGINT, 0) > 0)"""
+
+
+ORACLE["op1_source_mix"] = f"WITH {mix_sql('documents')} SELECT doc_id, lang, source, tokens, budget, copies FROM chosen"
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in three documents or more, dropped from all but the last of them; digests of what is kept."""
