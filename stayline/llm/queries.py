@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import chat, counts, linededup, mixing, neardup, packing, quality, tokenfile, tokens
+from stayline.llm import chat, counts, linededup, merkle, mixing, neardup, packing, quality, tokenfile, tokens
 from stayline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of all documents."""
     return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edits by the next document, and how alike they are."""
+    return merkle.compare_neighbours(documents(spark, sf_dir))
