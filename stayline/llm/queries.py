@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import chat, counts, linededup, merkle, mixing, neardup, packing, quality, tokenfile, tokens
+from stayline.llm import chat, counts, linededup, merkle, mixing, neardup, packing, private, quality, tokenfile, tokens
 from stayline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,6 +189,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query
+def op8_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents: pattern spans and terms that give them away."""
+    return private.private_digests(private.sanitise(documents(spark, sf_dir)))
+
+
 @query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of all documents."""

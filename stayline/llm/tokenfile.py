@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,9 +113,9 @@ def read_tokens(
         wanted = wanted.where(F.col("doc_id") <= high)
     if "start" in columns:
         sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
-        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file, so it can be sent to all tasks
         base = sums.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-        wanted = wanted.join(base, "part").withColumn("start", F.col("_base") + F.col("start_in_part"))
+        wanted = wanted.join(F.broadcast(base), "part").withColumn("start", F.col("_base") + F.col("start_in_part"))
     return wanted.select(*columns)
 
 
@@ -124,7 +125,7 @@ def token_digests(rows: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         lists = batch.column(3)
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        bounds = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))))
+        bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
         return {
             "doc_id": batch.column(0), "start": batch.column(1), "n_tokens": batch.column(2),
             "ids_crc32": np.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])], np.int64),
