@@ -256,6 +256,24 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     a class that has another doc_id. An empty table gives no rows. Other columns
     are not used.
     """
+    of_row = _classes(docs, settings)
+    classes = of_row.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return of_row.join(classes, "_class").select("doc_id", "class_id", "class_size")
+
+
+def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row of `docs` of each near-duplicate class, with all its columns: that of the least doc_id (null only if all are)."""
+    row = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_hash")
+    kept = _classes(docs, settings).groupBy("_class").agg(F.min(row).alias("_row"))
+    kept = kept.select(F.col("_row.doc_id").alias("_kept_id"), F.col("_row.text_hash").alias("_kept_hash")).distinct()
+    own = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    both = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash")))
+    # rows that repeat doc_id and text are one document
+    return both.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash", "_kept_id", "_kept_hash")
+
+
+def _classes(docs: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, text_hash and _class of every row."""
     idf = document_frequencies(docs, settings)
     rows = cut_lineage(sketches(docs, idf, settings))
     nodes = rows.groupBy(F.col("digest").alias("node")).agg(
@@ -286,11 +304,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     labels = components(links)
     links = links.unionByName(_rest(member, labels, known, idf, settings))
     labels = components(links)
-    of_row = rows.join(labels, rows["digest"] == labels["node"], "left").select(
-        "doc_id", F.coalesce("label", "digest").alias("_class")
+    return rows.join(labels, rows["digest"] == labels["node"], "left").select(
+        "doc_id", "text_hash", F.coalesce("label", "digest").alias("_class")
     )
-    classes = of_row.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return of_row.join(classes, "_class").select("doc_id", "class_id", "class_size")
 
 
 def _rest(member: DataFrame, labels: DataFrame, known: DataFrame, idf: Idf, settings: Settings) -> DataFrame:
