@@ -42,8 +42,10 @@ def _model_starts(path: str) -> Starts:
     model = tokens.piece_words(path).model
 
     def starts(text: str) -> np.ndarray:
-        pieces = model.encode(text, out_type="immutable_proto").pieces
-        return np.fromiter((p.begin for p in pieces), np.int64, len(pieces))
+        pieces = model.encode(text, return_type="proto").pieces
+        at = np.fromiter((p.begin for p in pieces), np.int64, len(pieces))
+        points = np.cumsum((np.frombuffer(text.encode("utf-8"), np.uint8) & 0xC0) != 0x80) - 1
+        return points[at]  # the library gives byte positions
 
     return starts
 
