@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayline.llm.arrow import map_slices
+from stayline.llm.columns import numbered, restored
 from stayline.session import cut_lineage
 
 MIN_CHARS = 20
@@ -46,7 +47,8 @@ def row_tag(text: Column) -> Column:
 
 def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2 (two hashes of the key), doc_id and place (row tag and line number) of lines with long enough keys."""
-    lines = docs.where("doc_id IS NOT NULL").select("doc_id", row_tag(F.col("text")).alias("_tag"), F.posexplode(F.split("text", "\n")))
+    plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    lines = plain.where("doc_id IS NOT NULL").select("doc_id", row_tag(F.col("text")).alias("_tag"), F.posexplode(F.split("text", "\n")))
     key = lines.select("doc_id", "_tag", "pos", line_key(F.col("col")).alias("_key")).where(F.length("_key") >= min_chars)
     return key.select(
         F.xxhash64("_key").alias("h1"),
@@ -210,13 +212,14 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    right = bitmaps.select(
-        F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), F.col("n_dropped").alias("_dropped"), F.col("keep").alias("_keep")
-    )
-    both = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("text", text)
-    both = both.join(right, (F.col("doc_id") == F.col("_doc")) & (row_tag(F.col("text")) == F.col("_tag")), "left")
-    return both.select(
-        *[F.when(F.col("_keep").isNull(), F.col("text")).otherwise(kept("text", "_keep")).alias("text") if c == "text" else F.col(f"`{c}`") for c in own],
-        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
-        F.coalesce("_dropped", F.lit(0)).alias("n_dropped"),
+    left = docs.select(*numbered(own), F.col("doc_id").cast("bigint").alias("own_id"), text.alias("own_text"))
+    both = left.join(
+        bitmaps.select("doc_id", "tag", "n_dropped", "keep"),
+        (F.col("own_id") == F.col("doc_id")) & (row_tag(F.col("own_text")) == F.col("tag")),
+        "left",
     )
+    now = F.when(F.col("keep").isNull(), F.col("own_text")).otherwise(kept("own_text", "keep"))
+    n_lines = F.length("own_text") - F.length(F.replace("own_text", F.lit("\n"), F.lit(""))) + 1
+    at = own.index("text")
+    both = both.withColumn(f"given_{at}", now)
+    return both.select(*restored(own), n_lines.cast("bigint").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"))

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayline.llm.columns import numbered, restored
 from stayline.session import cut_lineage
 #: Hex digits of the order key that make a coarse and a fine cell.
 COARSE, FINE = 3, 6
@@ -124,8 +125,9 @@ def select(docs: DataFrame, mix: Mix) -> DataFrame:
     own = [c for c in docs.columns if c not in ("tokens", "budget", "copies")]
     named = mix.levels.values()
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in own], mix.tokens.alias("tokens"), *[F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in zip(leaf, named)]
-    )
+        *numbered(own), F.col("doc_id"), F.col("text"), mix.tokens.alias("tokens"),
+        *[F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in zip(leaf, named)],
+    )
     inner = Mix(dict.fromkeys(leaf), F.lit(0), mix.share, mix.budget, mix.weights, mix.default_weight, mix.epochs, mix.seed)
     leaves = cut_lineage(leaf_budgets(cut_lineage(rows.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"))), inner))
     epoch = F.when(F.col("tokens") > 0, F.expr("budget DIV tokens")).otherwise(F.lit(0))
@@ -140,4 +142,4 @@ def select(docs: DataFrame, mix: Mix) -> DataFrame:
     cuts = cut_lineage(plan.join(last.groupBy(*leaf).agg(F.max("key").alias("last_key")), leaf, "left").select(*leaf, "budget", "full", "last_key"))
     chosen = rows.join(cuts, leaf).withColumn("key", order_key(F.col("doc_id"), F.col("text"), F.col("full"), mix.seed))
     in_prefix = F.coalesce((F.col("key") <= F.col("last_key")).cast("bigint"), F.lit(0))
-    return chosen.withColumn("copies", F.col("full") + in_prefix).where("copies > 0").select(*[F.col(f"`{c}`") for c in own], "tokens", "budget", "copies")
+    return chosen.withColumn("copies", F.col("full") + in_prefix).where("copies > 0").select(*restored(own), "tokens", "budget", "copies")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.llm.arrow import by_text, map_slices
+from stayline.llm.columns import numbered, restored
 from stayline.llm.components import components
 from stayline.llm.weighted import WIDTH, Idf, Sampler, bags, band_keys, digest, expanded, similarity
 from stayline.session import cut_lineage
@@ -266,10 +267,12 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "text_hash")
     kept = _classes(docs, settings).groupBy("_class").agg(F.min(row).alias("_row"))
     kept = kept.select(F.col("_row.doc_id").alias("_kept_id"), F.col("_row.text_hash").alias("_kept_hash")).distinct()
-    own = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    both = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_hash") == F.col("_kept_hash")))
+    names = docs.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(*numbered(names), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(text).alias("_hash"))
+    both = own.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash")))
     # rows that repeat doc_id and text are one document
-    return both.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash", "_kept_id", "_kept_hash")
+    return both.dropDuplicates(["_id", "_hash"]).select(*restored(names))
 
 
 def _classes(docs: DataFrame, settings: Settings) -> DataFrame:

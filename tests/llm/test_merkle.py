@@ -1,0 +1,73 @@
+import hashlib
+import random
+
+from stayline.llm import merkle
+from tests.llm.helpers import empty, odd_documents, prose, table
+
+
+def test_leaves_give_the_text_and_roots_equality():
+    rng = random.Random(1)
+    texts = ["", " ", "\n\n", "a", "a\n", "# h\ntext\n\n# h2\nmore \x0b\x85  x", prose(1, 300), prose(1, 300) + " ", "same " * 400, "q" * 9000]
+    texts += ["".join(rng.choice("ab #\n") for _ in range(rng.randrange(80))) for _ in range(300)]
+    for text in texts:
+        assert "".join(leaf for s in merkle.tree(text) for p in s for leaf in p) == text
+        assert merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(text)) == 1
+    assert len({merkle.root(merkle.fingerprint(t)) for t in texts}) == len(set(texts))
+
+
+def test_likeness_follows_the_share_of_common_text():
+    a, b = prose(1, 600), prose(2, 600)
+    mark = merkle.fingerprint(a)
+    assert merkle.likeness(mark, merkle.fingerprint(b)) < 0.1
+    one = a.replace(a.split()[300], "changed", 1)
+    assert 0.95 < merkle.likeness(mark, merkle.fingerprint(one)) < 1
+    assert 0.5 < merkle.likeness(mark, merkle.fingerprint(merkle.edited(a, b))) < 0.8
+    assert merkle.likeness(mark, merkle.fingerprint("")) == 0
+    assert merkle.likeness(mark, merkle.fingerprint(b)) == merkle.likeness(merkle.fingerprint(b), mark)
+
+
+def test_edits_are_located():
+    a = prose(1, 600)
+    for at in (0, 1500, len(a) - 5):
+        b = a[:at] + "EDIT" + a[at + 4 :]
+        places = merkle.edits(merkle.fingerprint(a), merkle.fingerprint(b))
+        assert any(s <= at < e or s <= at + 3 < e for s, e in places)
+        assert sum(e - s for s, e in places) < 700
+    assert merkle.edits(merkle.fingerprint(a), merkle.fingerprint(a)) == []
+    moved = "New first paragraph.\n" + a
+    assert merkle.edits(merkle.fingerprint(a), merkle.fingerprint(moved)) == []
+
+
+def by_hand(docs):
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), d[1] or ""))
+    out = []
+    for i, (doc, text, *_) in enumerate(order):
+        text, after = text or "", order[(i + 1) % len(order)][1] or ""
+        changed = merkle.edited(text, after)
+        marks = [merkle.fingerprint(t) for t in (text, changed, after)]
+        sha = hashlib.sha256(changed.encode()).hexdigest()
+        out.append((doc, len(text), sha, marks[0], marks[1], merkle.likeness(marks[0], marks[1]), merkle.likeness(marks[0], marks[2])))
+    return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+
+
+def run(docs):
+    return sorted((tuple(r) for r in merkle.compare_neighbours(docs).collect()), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+
+
+def test_neighbours_of_odd_documents(spark):
+    docs = table(spark, clashing=("range", "guest", "head", "fingerprint")).repartition(5)
+    assert run(docs) == by_hand(odd_documents())
+
+
+def test_neighbours_over_many_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(-5, 400), rng.choice([None, "", prose(i % 40, 30)]), "en", "src1") for i in range(500)]
+    rows += [(None, prose(i, 9), "en", "src1") for i in range(3)]
+    assert run(table(spark, rows).repartition(7)) == by_hand(rows)
+
+
+def test_single_and_empty(spark):
+    one = run(table(spark, [(3, "only one", "en", "src1")]))
+    assert len(one) == 1 and one[0][-1] == 1
+    assert len(run(table(spark, [(None, "no id", "en", "src1")]))) == 1
+    assert run(empty(spark)) == []

@@ -1,0 +1,136 @@
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from stayline.llm import private
+from tests.llm.helpers import empty, odd_documents, prose, table
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(digits[::-1])]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+
+def plain_base(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            good = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else False,
+                "card": 14 <= len(digits) <= 19 and plain_luhn(digits),
+                "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((*m.span(), kind))
+    return sorted(out, key=lambda s: (s[0], list(PATTERNS).index(s[2])))
+
+
+def test_base_spans_against_the_patterns():
+    rng = random.Random(1)
+    texts = [
+        "mail a.b@c.de, x@y, p@q.r.s@t.u and @z.y", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112",
+        "+1 (389) 555-5010 +12 34 +1 2345678901234567890", "é+49 30 1234567 5500005555555559 x", "00000000000000 +1.2.3.4.5.6.7.8.9.0",
+    ]
+    for alphabet in ("a@.-_ é", "0129.- ", "+1 ().-5", "4 1-1", "a@b.c1 +."):
+        texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    for text in texts:
+        assert private.base_spans(text) == plain_base(text), text
+
+
+def test_base_spans_on_the_documents(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert private.base_spans(row["text"]) == plain_base(row["text"])
+
+
+def test_long_runs_are_linear():
+    import time
+
+    began = time.perf_counter()
+    for text in ("a." * 200_000, "1" * 400_000, "1 " * 200_000, "+1" + " " * 300_000 + "x", "a@" * 200_000, "1." * 200_000):
+        private.base_spans(text)
+    assert time.perf_counter() - began < 20
+
+
+def plain_spans(docs, settings):
+    """All spans of each document by counting with dictionaries."""
+    texts = [t or "" for _, t, *_ in docs]
+    own = [plain_base(t) for t in texts]
+    entities = [{private.entity_of(k, t[a:b]) for a, b, k in s} for t, s in zip(texts, own)]
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = [[(m.start(), m.end(), m.group().translate(fold)) for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", t)] for t in texts]
+    terms = [{w for _, _, w in f} for f in found]
+    n_entity = Counter(e for s in entities for e in s)
+    n_term = Counter(w for s in terms for w in s)
+    n_both = Counter((e, w) for s, t in zip(entities, terms) for e in s for w in t)
+    n = len(docs)
+
+    def disclosure(e, w):
+        information = math.log(n / n_entity[e])
+        return math.log(n * n_both[e, w] / (n_entity[e] * n_term[w])) / information if information > 0 else 0.0
+
+    out = []
+    for t, s, es, f in zip(texts, own, entities, found):
+        spans = list(s)
+        for a, b, w in f:
+            told = [disclosure(e, w) for e in es if n_entity[e] >= settings.support and n_both[e, w] >= settings.support]
+            if told and max(told) >= settings.generalise - 1e-12 and not any(a < y and x < b for x, y, _ in s):
+                spans.append((a, b, "removed" if max(told) >= settings.remove else "general"))
+        out.append(private.written(sorted(spans, key=lambda x: (x[0], [*PATTERNS, "general", "removed"].index(x[2])))))
+    return out
+
+
+@pytest.fixture(scope="module")
+def people():
+    """Three documents a person with an address, a word of their own and one shared by pairs; others without."""
+    rng = random.Random(7)
+    rows = []
+    for person in range(6):
+        for k in range(3):
+            text = f"{prose(rng.random(), 20)} é écrit Pérson{person} Dépt{person // 2} 漢字{person}\nmail p{person}@x.org {prose(rng.random(), 5)}"
+            rows.append((len(rows), text, "en", "src1"))
+    for k in range(4):
+        rows.append((len(rows), f"once x{k}@once.org or 10.0.0.{k} {prose(k, 30)}", "en", "src1"))
+    for k in range(30):
+        rows.append((len(rows), prose(100 + k, 40) + (" Dépt0" if k == 0 else ""), "en", "src1"))
+    return rows
+
+
+def test_disclosing_terms_against_plain_counts(spark, people):
+    for settings in (private.Disclosure(), private.Disclosure(support=2, generalise=0.4, remove=0.8, cells=1 << 8)):
+        got = [tuple(r) for r in private.sanitise(table(spark, people, clashing=("uid", "term", "base")).repartition(3), settings).select("doc_id", "spans").collect()]
+        want = [(d[0], s) for d, s in zip(people, plain_spans(people, settings))]
+        assert sorted(got) == sorted(want)
+    assert any("removed" in s for _, s in want) and any("general" in s for _, s in want)
+
+
+def test_documents_without_entities_are_left_alone(spark, people):
+    for row in private.sanitise(table(spark, people)).collect():
+        if row["base"] == "":
+            assert row["spans"] == "" and row["sanitised"] is None
+        else:
+            assert "@" not in row["sanitised"]
+
+
+def test_sanitised_text():
+    text = "Ann Lee +1 389 555 5010 lives in Ulm."
+    spans = [(0, 3, "removed"), (4, 7, "general"), (8, 23, "phone"), (9, 12, "card"), (33, 36, "general")]
+    assert private.replaced(text, spans) == " Xxx [PHONE] lives in Xxx."
+
+
+def test_odd_documents(spark):
+    docs = table(spark, clashing=("uid", "entities", "spans"))
+    got = private.private_digests(private.sanitise(docs)).collect()
+    assert len(got) == len(odd_documents()) and sum(r["n_email"] for r in got) == 0
+    assert private.sanitise(empty(spark)).count() == 0
