@@ -8,8 +8,6 @@ at most.
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many tokens as come in, by the weights of the study mix; a document is repeated for each epoch it is in."""
-    chosen = mixing.select(docs, dataclasses.replace(study_mix(), share=(1, 1)))
+    chosen = mixing.select(docs, study_mix(share=(1, 1)))
     return chosen.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 

@@ -26,17 +26,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def study_mix() -> mixing.Mix:
-    """Half of all tokens; curated sources and Spanish weigh more than they have, so shortages occur."""
-    crawl = F.length("source") == 4
+#: Half of all tokens; curated sources and Spanish weigh more than they have, so shortages occur.
+MIX_WEIGHTS = {
+    "crawl": 2, "curated": 5, "crawl/en": 6, "crawl/de": 2, "crawl/fr": 2, "crawl/es": 1, "crawl/en/src0": 3,
+    "curated/en": 2, "curated/de": 2, "curated/fr": 2, "curated/es": 4, "curated/es/src10": 9,
+}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (1, 2), 2, 11
+
+
+def study_mix(share: tuple[int, int] = MIX_SHARE) -> mixing.Mix:
+    """The tree of the study: sources by domain (by the length of their name), language and source."""
+    domain = F.when(F.length("source") == 4, "crawl").when(F.col("source").isNotNull(), "curated")
     return mixing.Mix(
-        levels={"domain": F.when(crawl, "crawl").when(F.col("source").isNotNull(), "curated"), "lang": F.col("lang"), "source": F.col("source")},
+        levels={"domain": domain, "lang": F.col("lang"), "source": F.col("source")},
         tokens=mixing.word_tokens(F.col("text")),
-        weights={
-            "crawl": 2, "curated": 5, "crawl/en": 6, "crawl/de": 2, "crawl/fr": 2, "crawl/es": 1, "crawl/en/src0": 3,
-            "curated/en": 2, "curated/de": 2, "curated/fr": 2, "curated/es": 4, "curated/es/src10": 9,
-        },
-        epochs=2, seed=11,
+        share=share, weights=MIX_WEIGHTS, epochs=MIX_EPOCHS, seed=MIX_SEED,
     )
 
 
@@ -63,11 +67,10 @@ def _share_sql(children: str, parent: str) -> str:
 
 def mix_sql(table: str) -> str:
     """The study mix of `table` as common table expressions; `chosen` has all columns, tokens, budget and copies."""
-    mix = study_mix()
-    weights = ", ".join(f"('{k}', {v})" for k, v in mix.weights.items())
+    weights = ", ".join(f"('{k}', {v})" for k, v in MIX_WEIGHTS.items())
     nodes = """(SELECT n.*, coalesce(w.weight, 1) AS weight FROM (
       SELECT {path} AS path, {keep}, sum(tokens)::BIGINT * {epochs} AS most FROM leaves GROUP BY ALL) n LEFT JOIN weights w ON n.path = w.name)"""
-    level = [nodes.format(path=p, keep=k, epochs=mix.epochs) for p, k in (("p1", "p1"), ("p2", "p1, p2"), ("p3", "p1, p2, p3"))]
+    level = [nodes.format(path=p, keep=k, epochs=MIX_EPOCHS) for p, k in (("p1", "p1"), ("p2", "p1, p2"), ("p3", "p1, p2, p3"))]
     return f"""
 sized AS (
   SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
@@ -75,13 +78,13 @@ sized AS (
     p1 || '/' || coalesce(lang, 'unknown') AS p2, p2 || '/' || coalesce(source, 'unknown') AS p3 FROM {table}),
 weights(name, weight) AS (VALUES {weights}),
 leaves AS (SELECT p1, p2, p3, sum(tokens)::BIGINT AS tokens FROM sized GROUP BY ALL),
-whole AS (SELECT least(sum(tokens) * {mix.share[0]} // {mix.share[1]}, sum(tokens) * {mix.epochs})::BIGINT AS given FROM leaves),
+whole AS (SELECT least(sum(tokens) * {MIX_SHARE[0]} // {MIX_SHARE[1]}, sum(tokens) * {MIX_EPOCHS})::BIGINT AS given FROM leaves),
 b1 AS (SELECT path AS p1, budget AS given FROM {_share_sql(f"(SELECT * FROM {level[0]}, whole)", "1")}),
 b2 AS (SELECT path AS p2, budget AS given FROM {_share_sql(f"(SELECT * FROM {level[1]} JOIN b1 USING (p1))", "p1")}),
 b3 AS (SELECT path AS p3, budget FROM {_share_sql(f"(SELECT * FROM {level[2]} JOIN b2 USING (p2))", "p2")}),
 plan AS (SELECT p3, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole_epochs,
   budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM leaves JOIN b3 USING (p3)),
-keyed AS (SELECT *, md5('{mix.seed}:' || whole_epochs::VARCHAR || ':' || coalesce(doc_id::VARCHAR, md5(text), '')) AS key FROM sized JOIN plan USING (p3)),
+keyed AS (SELECT *, md5('{MIX_SEED}:' || whole_epochs::VARCHAR || ':' || coalesce(doc_id::VARCHAR, md5(text), '')) AS key FROM sized JOIN plan USING (p3)),
 last AS (SELECT p3, max(key) AS last_key FROM (
     SELECT p3, key, rest, n, sum(n) OVER (PARTITION BY p3 ORDER BY key) - n AS before
     FROM (SELECT p3, key, rest, sum(tokens)::BIGINT AS n FROM keyed WHERE rest > 0 GROUP BY ALL) WHERE n > 0)
