@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MANTISSA_BITS = 24
 COARSE_SHIFT = 12
+#: Above the cell of every finite double.
+END_CELL = 1 << 50
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -27,14 +29,20 @@ def value_block(x: Column, bits: int = MANTISSA_BITS) -> Column:
     """Order-preserving integer cell of a double: sign, exponent, leading mantissa.
 
     Cells are relative (2**-bits of the value), so an outlier or a pile of
-    scores near zero does not push everything into one cell.
+    scores near zero does not push everything into one cell. The infinities
+    have end cells of their own, and NaN, which sorts last, the cell behind.
     """
-    magnitude = F.abs(x)
+    infinity = F.lit(float("inf"))
+    end = F.lit(END_CELL).cast("bigint")
+    magnitude = F.when(~F.isnan(x) & (F.abs(x) != infinity), F.abs(x))
     exponent = F.floor(F.log2(magnitude))
     mantissa = F.floor(magnitude / F.pow(F.lit(2.0), exponent) * F.lit(float(2**bits)))
     cell = (exponent + F.lit(1100)) * F.lit(2 ** (bits + 1)) + mantissa
     return (
-        F.when(x == 0, F.lit(0).cast("bigint"))
+        F.when(F.isnan(x), end + F.lit(1))
+        .when(x == infinity, end)
+        .when(x == -infinity, -end)
+        .when(x == 0, F.lit(0).cast("bigint"))
         .when(x > 0, cell.cast("bigint"))
         .otherwise(-cell.cast("bigint"))
     )
@@ -46,7 +54,7 @@ def seeded_hash(seed, *parts: Column) -> Column:
     return F.md5(F.concat_ws(":", seed_col.cast("string"), *[p.cast("string") for p in parts]))
 
 
-def hash_block(digest: Column, digits: int = 3) -> Column:
+def hash_block(digest: Column, digits: int = 6) -> Column:
     """Leading hex digits of a digest as a number: even cells by construction."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("bigint")
 

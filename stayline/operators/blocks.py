@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayline.functions.expr import COARSE_SHIFT
 
@@ -25,14 +26,19 @@ def hour_block(hour: Column, size: int = BLOCK_HOURS) -> Column:
     return F.floor(hour / F.lit(size)).cast("bigint")
 
 
-def with_halo(df: DataFrame, hour: str, lookback: int, size: int = BLOCK_HOURS) -> DataFrame:
+def block_hours(lookback: int) -> int:
+    """Hours in a block for this lookback: a halo never takes more than half of a block's rows."""
+    return max(BLOCK_HOURS, lookback + 1)
+
+
+def with_halo(df: DataFrame, hour: str, lookback: int, size: int | None = None) -> DataFrame:
     """Add the hour block, and repeat the last `lookback` hours in the next block.
 
     `hour` is a dense 0-based position, so a trailing frame of up to
-    `lookback + 1` rows is complete inside each block.
+    `lookback + 1` rows is complete inside each block. Blocks are as long as
+    `block_hours` says, or longer than the lookback if `size` is given.
     """
-    if lookback >= size:
-        raise ValueError(f"lookback {lookback} does not fit a block of {size} hours")
+    size = block_hours(lookback) if size is None else max(size, lookback + 1)
     own = hour_block(F.col(hour), size)
     late = F.pmod(F.col(hour), F.lit(size)) >= F.lit(size - lookback)
     blocks = F.when(late, F.array(own, own + F.lit(1))).otherwise(F.array(own))
@@ -48,6 +54,36 @@ def _cell(block: Column) -> Column:
     return F.coalesce(block.cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def plain_keys(df: DataFrame, keys: Sequence[str], nullable: set[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Add columns that stand for `keys` and are never null, and their names.
+
+    A null key is a group like any other, but an equi-join would lose it, and a
+    null-safe join could not share its partitioning with windows. Keys that
+    cannot be null (by the schema, or not in `nullable`) stand for themselves.
+    """
+    names: list[str] = []
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        if k not in nullable if nullable is not None else not df.schema[k].nullable:
+            names.append(k)
+            continue
+        numeric = isinstance(kind, T.NumericType)
+        key = F.col(k) if numeric or isinstance(kind, T.StringType) else F.col(k).cast("string")
+        zero = F.lit(0).cast(kind) if numeric else F.lit("")
+        df = df.withColumn(f"_key{i}", F.coalesce(key, zero)).withColumn(f"_null{i}", F.col(k).isNull())
+        names += [f"_key{i}", f"_null{i}"]
+    return df, names
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys where null equals null; columns of `left`, then the others of `right`."""
+    rest = [c for c in right.columns if c not in keys]
+    nullable = {k for k in keys if left.schema[k].nullable or right.schema[k].nullable}
+    a, on = plain_keys(left, keys, nullable)
+    b, _ = plain_keys(right, keys, nullable)
+    return a.join(b.select(*on, *rest), on, how).select(*left.columns, *rest)
+
+
 def prior_summary(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,6 +92,7 @@ def prior_summary(
 ) -> DataFrame:
     """Per (keys, block): each summary folded over all earlier blocks.
 
+    Keys must not be null (see `plain_keys`), as callers join on them.
     `summary` maps an output name to (aggregate, fold) with fold `sum` or
     `last` (latest non-null). Only block summaries reach a window, and those
     are folded in two levels (blocks, then groups of 4096 blocks).
@@ -112,6 +149,8 @@ def running_totals(
     """
     sort = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     fine, coarse = BLOCK, COARSE
+    columns = df.columns
+    df, keys = plain_keys(df, keys)
     cells = df.withColumn(fine, _cell(block)).withColumn(coarse, F.shiftright(F.col(fine), COARSE_SHIFT))
     edge = (F.max if descending else F.min)(order)
 
@@ -152,7 +191,7 @@ def running_totals(
         else []
     )
     return out.select(
-        *df.columns,
+        *columns,
         *[(F.sum(v).over(upto) + F.col(f"_off_{v}")).alias(f"cum_{v}") for v in values],
         *extra,
     )
@@ -165,11 +204,13 @@ def row_numbers(
 
     `block` must not decrease with the first order column.
     """
+    columns = df.columns
+    df, keys = plain_keys(df, keys)
     cells = df.withColumn(BLOCK, _cell(block))
     offsets = prior_summary(df, keys, block, {"_off": (F.count(F.lit(1)), "sum")})
     w = W.partitionBy(*keys, BLOCK).orderBy(*order)
     return cells.join(offsets, [*keys, BLOCK]).select(
-        *df.columns,
+        *columns,
         (F.row_number().over(w) + F.coalesce("_off", F.lit(0))).cast("bigint").alias(name),
     )
 
@@ -212,4 +253,4 @@ def exact_quantiles(
         ]
         lo, hi, weight = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_w_{name}")
         outs.append((lo + (hi - lo) * weight if method == "linear" else lo).alias(name))
-    return ranked.join(totals, list(keys)).groupBy(*keys).agg(*aggs).select(*keys, "n", *outs)
+    return join_groups(ranked, totals, keys).groupBy(*keys).agg(*aggs).select(*keys, "n", *outs)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stayline.operators.blocks import BLOCK, HALO, hour_block, prior_summary, with_halo
+from stayline.operators.blocks import BLOCK, BLOCK_HOURS, HALO, block_hours, hour_block, prior_summary, with_halo
 from stayline.spec import STATISTICS, WINDOWS, PanelSpec
 
 
@@ -35,7 +35,7 @@ def trailing(stat: str, x: str, hour: str, frame) -> Column:
     }[stat]()
 
 
-def _last_measured(spec: PanelSpec, panel: DataFrame, values: bool) -> DataFrame:
+def _last_measured(spec: PanelSpec, panel: DataFrame, values: bool, size: int = BLOCK_HOURS) -> DataFrame:
     """Per hour block: last measured hour (and value) of each variable before it."""
     summary = {}
     for v in spec.variables:
@@ -43,7 +43,7 @@ def _last_measured(spec: PanelSpec, panel: DataFrame, values: bool) -> DataFrame
         summary[f"_ph_{v}"] = (F.max(at), "last")
         if values:
             summary[f"_pv_{v}"] = (F.max_by(F.col(v), at), "last")
-    return prior_summary(panel, spec.key, hour_block(F.col(spec.hour)), summary)
+    return prior_summary(panel, spec.key, hour_block(F.col(spec.hour), size), summary)
 
 
 def recency(panel: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -91,7 +91,7 @@ def window_features_long(
     wide = with_halo(panel.select(*carried, *spec.variables), spec.hour, max(windows) - 1)
     at_block = wide.repartition(*spec.key, BLOCK)
     if with_recency:
-        before = _last_measured(spec, panel, values=False)
+        before = _last_measured(spec, panel, values=False, size=block_hours(max(windows) - 1))
         at_block = at_block.join(before, [*spec.key, BLOCK])
     readings = F.array(
         *[

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import count_where, ratio, threshold_bucket, value_block
-from stayline.operators.blocks import running_totals
+from stayline.operators.blocks import join_groups, running_totals
 from stayline.spec import AGE_BANDS, MIN_POSITIVES, PanelSpec
 
 # Published utility settings, hours relative to the event time,
@@ -30,17 +30,23 @@ TRUE_ALERT, MISSED, FALSE_ALERT = 180, -360, -9
 BIN_EDGES = tuple(i * 0.1 for i in range(10)) + (1.0,)
 
 
+def _unusable(label: str, score: str) -> Column:
+    return F.col(label).isNull() | F.col(score).isNull() | ~F.col(label).isin(0, 1)
+
+
 def require_scored(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Refuse an empty frame, a null or a label other than 0/1."""
-    bad = F.col(label).isNull() | F.col(score).isNull() | ~F.col(label).isin(0, 1)
+    bad = _unusable(label, score)
     row = scored.agg(F.count(F.lit(1)).alias("n"), count_where(bad).alias("bad")).first()
     if row["n"] == 0:
-        raise ValueError("cannot evaluate an empty cohort")
+        raise ValueError(NO_ROWS)
     if row["bad"]:
-        raise ValueError(f"{row['bad']} rows without a binary label or a score")
+        raise ValueError(f"{BAD_ROWS}{row['bad']}")
     return scored
 
 
+NO_ROWS = "nothing to score: the frame has no rows"
+BAD_ROWS = "rows without a 0/1 label or without a score: "
 ALL = "_all"  # stand-in group when the caller names none
 
 
@@ -108,7 +114,7 @@ def with_utility(
     Onsets are aggregated map-side and joined back; only the row side can be
     skewed there, and AQE splits it.
     """
-    joined = scored.join(onsets(scored, entity, label, hour), list(entity))
+    joined = join_groups(scored, onsets(scored, entity, label, hour), entity)
     h, onset = F.col(hour), F.col("onset")
     alert, quiet = utility_units(1, h, onset), utility_units(0, h, onset)
     dt = h - onset - F.lit(LEAD)
@@ -144,7 +150,9 @@ def evaluate(
 ) -> DataFrame:
     """The metric record: the only place a reported number comes from.
 
-    `threshold` may be a literal or a column constant within each group.
+    `threshold` may be a literal or a column constant within each group. The
+    query fails on an empty frame and on rows without a 0/1 label or a score;
+    they are counted in the same aggregation. A null group is a group.
     """
     if not groups:
         whole = evaluate(scored.withColumn(ALL, F.lit(1)), [ALL], threshold, entity)
@@ -155,6 +163,7 @@ def evaluate(
     # Entities are counted as the groups of a first, map-side combined level.
     per_entity = rows.groupBy(*groups, *entity).agg(
         F.count(F.lit(1)).alias("n_hours"),
+        count_where(_unusable("label", "score")).alias("_bad"),
         count_where(y).alias("n_positives"),
         count_where(hit).alias("n_alerts"),
         count_where(hit & y).alias("tp"),
@@ -167,9 +176,10 @@ def evaluate(
     sums = per_entity.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_patients"),
         *[F.sum(c).alias(c) for c in
-          ("n_hours", "n_positives", "n_alerts", "tp", "_se", "_observed", "_inaction", "_best")],
+          ("n_hours", "_bad", "n_positives", "n_alerts", "tp", "_se", "_observed", "_inaction", "_best")],
         F.max("threshold").alias("threshold"),
     )
+    sums = _refuse_unusable(sums)
     n, tp = F.col("n_hours"), F.col("tp")
     fp, fn = F.col("n_alerts") - tp, F.col("n_positives") - tp
     record = sums.select(
@@ -181,7 +191,16 @@ def evaluate(
         ratio(F.lit(2400.0) * F.col("n_alerts"), n).alias("alerts_per_100_days"),
         normalised(F.col("_observed"), F.col("_inaction"), F.col("_best")).alias("utility"),
     )
-    return record.join(rank_metrics(scored, groups), groups)
+    return join_groups(record, rank_metrics(scored, groups), groups)
+
+
+def _refuse_unusable(sums: DataFrame) -> DataFrame:
+    """Fail the query if any group has bad rows or there is no group at all."""
+    message = F.concat(F.lit(BAD_ROWS), F.col("_bad").cast("string"))
+    checked = sums.withColumn("n_hours", F.when(F.col("_bad") > 0, F.raise_error(message).cast("bigint")).otherwise(F.col("n_hours")))
+    none = sums.agg(F.count(F.lit(1)).alias("n_hours"))
+    none = none.where(F.when(F.col("n_hours") == 0, F.raise_error(F.lit(NO_ROWS)).cast("boolean")).otherwise(F.lit(False)))
+    return checked.unionByName(none, allowMissingColumns=True)
 
 
 def reliability(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -196,7 +215,7 @@ def reliability(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
     present = filled.select(*groups).distinct()
     all_bins = present.select(*groups, F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bin"))
     names = F.array(*[F.lit(f"{a:.2f}-{b:.2f}") for a, b in zip(BIN_EDGES, BIN_EDGES[1:])])
-    return all_bins.join(filled, [*groups, "bin"], "left").select(
+    return join_groups(all_bins, filled, [*groups, "bin"], "left").select(
         *groups, names[F.col("bin")].alias("bin"),
         F.coalesce("n", F.lit(0)).alias("n"), "mean_prediction", "positive_rate",
     )
@@ -226,7 +245,7 @@ def sweep(
         F.sum("u_alert").alias("ua"), F.sum("u_quiet").alias("uq"), F.sum("u_best").alias("ub"),
     )
     ks = per_bucket.select(*groups).distinct().select(*groups, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
-    filled = ks.join(per_bucket, [*groups, "k"], "left").fillna(0, ["n", "pos", "ua", "uq", "ub"])
+    filled = join_groups(ks, per_bucket, [*groups, "k"], "left").fillna(0, ["n", "pos", "ua", "uq", "ub"])
     up = W.partitionBy(*groups).orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, 0)
     below = W.partitionBy(*groups).orderBy("k").rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy(*groups)
@@ -263,7 +282,7 @@ def freeze_threshold(scored: DataFrame, entity: Sequence[str] = ("site", "entity
     """The chosen threshold as a number; an error if no utility is defined."""
     row = best_threshold(sweep(scored, [], entity), []).first()
     if row is None or row["threshold"] is None:
-        raise ValueError("threshold sweep produced no finite utility")
+        raise ValueError("no threshold can be frozen: its utility is undefined everywhere")
     return float(row["threshold"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stayline.operators.blocks import BLOCK, HALO, hour_block, prior_summary, with_halo
+from stayline.operators.blocks import BLOCK, HALO, block_hours, hour_block, prior_summary, with_halo
 from stayline.operators.cohort import split_sites, with_split
 from stayline.operators.grid import dense_grid
 from stayline.spec import PanelSpec
@@ -88,7 +88,7 @@ def event_panel(spark: SparkSession, sf_dir: str, scores: bool = False) -> DataF
     grid = event_grid(spark, sf_dir)
     lookback = LOOKBACK if scores else 0
     before = prior_summary(
-        grid, list(ENTITY), hour_block(F.col("hour")), {"_errors": (F.sum("n_errors"), "sum")}
+        grid, list(ENTITY), hour_block(F.col("hour"), block_hours(lookback)), {"_errors": (F.sum("n_errors"), "sum")}
     )
     rows = with_halo(grid, "hour", lookback).join(before, [*ENTITY, BLOCK])
     w = W.partitionBy(*ENTITY, BLOCK).orderBy("hour")

@@ -55,8 +55,11 @@ def a4(spark, sf):
 @register("a6_build_cohort", PANEL + f" SELECT site, user_id, hour, clock, {VARS}, label FROM panel")
 def a6(spark, sf):
     panel = B.cohort(spark, sf).select("site", "user_id", "hour", "clock", *B.EVENT_TYPES, "label")
-    sites = [panel.filter(F.col("site") == s) for s in ("A", "B")]
-    return C.build_cohort(*sites, spec=B.EVENTS)
+    return C.build_cohort(panel, spec=B.EVENTS)
+
+
+def _row_text(*columns: str) -> str:
+    return " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
 
 
 _LANES = " || ':' || ".join(
@@ -67,8 +70,8 @@ _LANES = " || ':' || ".join(
 @register(
     "a9_row_digest",
     f"""WITH hashed AS (
-  SELECT l_returnflag, sha256(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-    CAST(round(l_extendedprice * 100) AS BIGINT), l_linestatus)) AS h FROM lineitem)
+  SELECT l_returnflag, sha256({_row_text(
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(round(l_extendedprice * 100) AS BIGINT)", "l_linestatus")}) AS h FROM lineitem)
 SELECT l_returnflag, count(*) AS n, sha256(CAST(count(*) AS VARCHAR) || ':' || {_LANES}) AS digest
 FROM hashed GROUP BY l_returnflag""",
 )
@@ -144,12 +147,15 @@ def b5(spark, sf):
 
 @register(
     "b7_split_overlap",
-    f"""WITH s AS (SELECT DISTINCT {SITE} AS site, user_id, event_type AS split FROM events WHERE event_type IN ('error', 'view'))
-SELECT site, user_id, count(*) AS n_splits FROM s GROUP BY site, user_id HAVING count(*) > 1""",
+    EV + splits() + """, planted AS (SELECT site, user_id, split FROM splits
+  UNION ALL SELECT site, user_id, 'planted' FROM splits WHERE user_id % 10 = 7)
+SELECT site, user_id, count(DISTINCT split) AS n_splits FROM planted GROUP BY site, user_id HAVING count(DISTINCT split) > 1""",
 )
 def b7(spark, sf):
-    marked = B.events(spark, sf).filter(F.col("event_type").isin("error", "view"))
-    return C.split_overlap(marked.withColumn("split", F.col("event_type")), B.EVENTS)
+    """The real splits, with every tenth entity put into one more so that there is something to find."""
+    real = C.split_sites(B.events(spark, sf), B.EVENTS).select("site", "user_id", "split")
+    planted = real.filter(F.col("user_id") % 10 == 7).withColumn("split", F.lit("planted"))
+    return C.split_overlap(real.unionByName(planted), B.EVENTS)
 
 
 DRAWS = ((10, 0), (10, 1), (50, 0), (50, 1))

@@ -6,7 +6,7 @@ from stayline.operators import features as FT
 from stayline.plans import bindings as B
 from stayline.plans.registry import register
 from stayline.plans.sql import PANEL, splits
-from stayline.spec import WINDOWS
+from stayline.spec import STATISTICS, WINDOWS
 
 V = B.EVENT_TYPES
 UPTO = "OVER (PARTITION BY site, user_id ORDER BY hour)"
@@ -75,30 +75,24 @@ for _name, _stat in (
     _trailing(_name, _stat)
 
 
-PICKED = [("mean", 6), ("last", 12), ("slope", 24)]
-
-
-def _pick_sql() -> str:
+def _window_sql() -> str:
     out = []
     for v in V:
         out += [f'CAST("{v}" IS NULL AS DOUBLE) AS {v}_missing', SINCE.format(v=v).replace("AS INTEGER", "AS DOUBLE")]
-        for s, n in PICKED:
-            o = f"OVER (PARTITION BY site, user_id ORDER BY hour ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-            out.append(STAT_SQL[s].replace("(x", f'("{v}"').format(o=o) + f" AS {v}_{s}_{n}")
+    for n in WINDOWS:
+        o = f"OVER (PARTITION BY site, user_id ORDER BY hour ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        out += [STAT_SQL[s].replace("(x", f'("{v}"').format(o=o) + f" AS {v}_{s}_{n}" for v in V for s in STATISTICS]
     return ", ".join(out)
 
 
 @register(
     "c10_window_features",
-    PANEL + f""" SELECT site, user_id, hour, label, {_pick_sql()}, CAST(age AS DOUBLE) AS age,
+    PANEL + f""" SELECT site, user_id, hour, label, {_window_sql()}, CAST(age AS DOUBLE) AS age,
   CAST(gender AS DOUBLE) AS gender, CAST(clock AS DOUBLE) AS clock FROM panel""",
 )
 def c10(spark, sf):
     wide = FT.window_features(B.cohort(spark, sf), B.EVENTS)
-    picked = []
-    for v in V:
-        picked += [f"{v}_missing", f"{v}_hours_since_measured", *[f"{v}_{s}_{n}" for s, n in PICKED]]
-    return wide.select(*KEYS, "label", *picked, *B.EVENTS.model_static)
+    return wide.select(*KEYS, "label", *B.EVENTS.window_feature_columns(WINDOWS))
 
 
 MINIMAL = (

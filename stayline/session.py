@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,7 +20,7 @@ def local_session(app: str = "stayline", cores: str = "*", partitions: int = 8)
         # Small inputs still deserve every core: do not merge tiny partitions here.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -29,15 +30,23 @@ def local_session(app: str = "stayline", cores: str = "*", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`.
+    """The folder the cluster names in `spark.checkpoint.dir`, else one in the warehouse, which is shared as well."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stayline-stages"
 
-    Only where that is unset (a local test) a folder is made up.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return context.getCheckpointDir()
+
+_WRITTEN: list[str] = []
+
+
+def _remove_tables() -> None:
+    """Remove the tables of `cut_lineage` when the driver ends; what a killed driver leaves follows the folder's retention."""
+    gateway = SparkContext._gateway
+    if gateway is None:
+        return
+    jvm = gateway.jvm
+    for name in _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -49,4 +58,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _WRITTEN:
+        atexit.register(_remove_tables)
+    _WRITTEN.append(path)
     return df.sparkSession.read.parquet(path)

@@ -33,9 +33,10 @@ def multiset_digest(items: DataFrame, by: Sequence[str], digest: Column) -> Data
 
 
 def row_digest(table: DataFrame, by: Sequence[str], columns: Sequence[Column]) -> DataFrame:
-    """Digest of table rows; columns enter as text, null spelled out."""
-    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns])
-    return multiset_digest(table, by, F.sha2(text, 256))
+    """Digest of table rows. Columns enter as length:text, so no two rows have one text; null is `-`."""
+    texts = [c.cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return multiset_digest(table, by, F.sha2(F.concat(*parts), 256))
 
 
 def file_hashes(spark: SparkSession, root: str, sites=CONFIG.sites) -> DataFrame:

@@ -61,13 +61,19 @@ def read_raw(spark: SparkSession, root: str, spec: PanelSpec = PanelSpec(), site
     )
 
 
-def list_files(spark: SparkSession, root: str, sites=CONFIG.sites) -> DataFrame:
-    """(site, name, length) of every record file; contents are not read.
+def _listed(spark: SparkSession, root: str, sites) -> DataFrame:
+    """path and length of every record file. Scans skip files of zero bytes, so the names come from Spark's file index."""
+    files = spark.read.format("binaryFile").load(paths(root, sites))
+    names = spark.createDataFrame([(p,) for p in files.inputFiles()], "path string")
+    one_form = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+    return names.select(one_form.alias("path")).join(
+        files.select(one_form.alias("path"), "length"), "path", "left"
+    ).select("path", F.coalesce("length", F.lit(0)).alias("length"))
 
-    Spark's file sources skip files of zero bytes, so those are not listed.
-    """
-    listed = spark.read.format("binaryFile").load(paths(root, sites))
-    return listed.select(
+
+def list_files(spark: SparkSession, root: str, sites=CONFIG.sites) -> DataFrame:
+    """(site, name, length) of every record file, empty ones too; contents are not read."""
+    return _listed(spark, root, sites).select(
         site_from_path(F.col("path"), sites).alias("site"),
         F.element_at(F.split("path", "/"), -1).alias("name"),
         "length",
@@ -118,8 +124,8 @@ def quarantine(spark: SparkSession, root: str, sites=CONFIG.sites) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         count_where(fields != len(RAW_COLUMNS)).alias("odd_rows"),
     )
-    listed = spark.read.format("binaryFile").load(paths(root, sites)).select("path")
-    joined = listed.join(per_file, "path", "left")
+    seen = per_file.withColumn("path", F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/"))
+    joined = _listed(spark, root, sites).join(seen, "path", "left")
     wrong_header = F.coalesce(F.col("first") != header, F.lit(True))
     flags = joined.select(
         "path",

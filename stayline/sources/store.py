@@ -48,7 +48,7 @@ def flat_export(
     rows = cohort if site is None else cohort.filter(F.col(spec.site) == site)
     if limit is not None:
         first = rows.select(*spec.key).distinct().orderBy(spec.entity, spec.site).limit(limit)
-        rows = rows.join(F.broadcast(first) if limit <= 10_000 else first, spec.key, "left_semi")
+        rows = rows.join(first, spec.key, "left_semi")
     statics = [c for c in (spec.age, spec.gender, *spec.units) if c in cohort.columns]
 
     def shown(c: str) -> Column:
@@ -100,7 +100,7 @@ def write_design(
     """Feature parquet first, its description last: a half-written one is not current."""
     spark = design.sparkSession
     if design.limit(1).count() == 0:
-        raise ValueError("cannot build a design for an empty cohort")
+        raise ValueError("the design has no rows, so nothing is stored")
     design.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows")
     n = spark.read.parquet(f"{path}/rows").count()
     doc = spark.createDataFrame([(_meta(columns, windows, digest, n),)], "value string")
@@ -128,11 +128,11 @@ def design_is_current(spark: SparkSession, path: str, columns: Sequence[str], di
 def concatenate_designs(designs: Sequence[DataFrame]) -> DataFrame:
     """Rows of several designs with the same columns in the same order."""
     if not designs:
-        raise ValueError("nothing to concatenate")
+        raise ValueError("no designs were given")
     out = designs[0]
     for d in designs[1:]:
         if d.columns != out.columns:
-            raise ValueError("cannot concatenate designs with different column orders")
+            raise ValueError("the designs do not have the same columns in the same order")
         out = out.unionByName(d, allowMissingColumns=False)
     return out
 

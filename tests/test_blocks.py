@@ -54,8 +54,13 @@ def test_halo_windows_equal_whole_windows(spark):
     got = cut.withColumn("m", F.max("x").over(w)).filter(~F.col(BL.HALO)).select("hour", "m")
     whole = df.select("hour", F.max("x").over(W.partitionBy("e").orderBy("hour").rowsBetween(-9, 0)).alias("m"))
     assert sorted(got.collect()) == sorted(whole.collect())
-    with pytest.raises(ValueError):
-        BL.with_halo(df, "hour", 16, size=16)
+    # a lookback longer than the block makes the block longer
+    assert BL.block_hours(600) > 600
+    cut = BL.with_halo(df, "hour", 40, size=16)
+    w = W.partitionBy("e", BL.BLOCK).orderBy("hour").rowsBetween(-40, 0)
+    got = cut.withColumn("m", F.max("x").over(w)).filter(~F.col(BL.HALO)).select("hour", "m")
+    whole = df.select("hour", F.max("x").over(W.partitionBy("e").orderBy("hour").rowsBetween(-40, 0)).alias("m"))
+    assert sorted(got.collect()) == sorted(whole.collect())
 
 
 def test_prior_summary_folds_earlier_blocks_only(spark):
@@ -86,3 +91,25 @@ def test_prior_summary_across_coarse_blocks(spark):
     out = BL.prior_summary(df, ["k"], F.col("b"), {"s": (F.sum("v"), "sum"), "l": (F.max("x"), "last")})
     got = {r[BL.BLOCK]: (r["s"], r["l"]) for r in out.collect()}
     assert got == {0: (None, None), 5: (0, 0), 4096: (1, 1), 4100: (3, 1), 9000: (6, 3)}
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(k, float(i), 1) for k in (None, "a", "") for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, x double, v int")
+    totals = BL.running_totals(df, ["k"], "x", ["v"], value_block(F.col("x")))
+    assert sorted(((r["k"] is None, r["k"] or "", r["x"], r["cum_v"]) for r in totals.collect())) == sorted(
+        (k is None, k or "", x, int(x) + 1) for k, x, _ in rows
+    )
+    numbered = BL.row_numbers(df, ["k"], ["x"], value_block(F.col("x")), "rn")
+    assert sorted((r["k"] is None, r["k"] or "", r["rn"]) for r in numbered.collect()) == sorted((k is None, k or "", int(x) + 1) for k, x, _ in rows)
+    middle = BL.exact_quantiles(df, ["k"], "x", {"m": 0.5}, value_block(F.col("x")))
+    assert {r["k"]: r["m"] for r in middle.collect()} == {None: 2.0, "a": 2.0, "": 2.0}
+
+
+def test_infinite_values_have_cells(spark):
+    xs = [float("-inf"), -1e308, -1.0, 0.0, 1.0, 1e308, float("inf"), float("nan")]
+    df = spark.createDataFrame([(x, 1) for x in xs], "x double, v int")
+    cells = [r["b"] for r in df.select(value_block(F.col("x")).alias("b")).collect()]
+    assert cells == sorted(cells) and len(set(cells)) == len(cells)
+    got = BL.running_totals(df, [], "x", ["v"], value_block(F.col("x"))).orderBy("x").collect()
+    assert [r["cum_v"] for r in got] == list(range(1, 9))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stayline.operators import compare as C
@@ -107,9 +108,9 @@ def test_inaction_scores_zero_and_one_class_is_null(spark):
 
 
 def test_guard(spark):
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         M.require_scored(stays(spark, ("a", [0], [0.1])).filter("hour > 5"))
-    with pytest.raises(ValueError, match="binary"):
+    with pytest.raises(ValueError, match="0/1 label"):
         M.require_scored(stays(spark, ("a", [2], [0.1])))
 
 
@@ -158,3 +159,24 @@ def test_drift_textbook(spark):
     got = {r["feature"]: r for r in C.ranked_drift(C.drift(df, "s", "A", "B", ["x", "one"])).collect()}
     assert close(got["x"]["distance"], 5.0) and got["one"]["distance"] is None
     assert (got["x"]["drift_rank"], got["one"]["drift_rank"]) == (1, 2)
+
+
+def test_null_group_is_scored(spark):
+    rows = [(g, "s", e, h, int(h > 3 and e == "a"), h / 9) for g in (None, "x") for e in ("a", "b") for h in range(8)]
+    scored = spark.createDataFrame(rows, "g string, site string, entity string, hour int, label int, score double")
+    for got in (M.evaluate(scored, ["g"], F.lit(0.5)), M.rank_metrics(scored, ["g"])):
+        by = {r["g"]: tuple(r)[1:] for r in got.collect()}
+        assert set(by) == {None, "x"} and by[None] == by["x"]
+    assert {r["g"] for r in M.best_threshold(M.sweep(scored, ["g"]), ["g"]).collect()} == {None, "x"}
+    null_site = scored.withColumn("site", F.lit(None).cast("string"))
+    assert M.evaluate(null_site, ["g"], F.lit(0.5)).select("n_hours", "utility").collect() == M.evaluate(scored, ["g"], F.lit(0.5)).select("n_hours", "utility").collect()
+
+
+def test_evaluation_refuses_unusable_rows(spark):
+    columns = "site string, entity string, hour int, label int, score double"
+    for label, score in ((None, 0.5), (2, 0.5), (1, None)):
+        bad = spark.createDataFrame([("s", "e", 0, 1, 0.5), ("s", "e", 1, label, score)], columns)
+        with pytest.raises(PySparkException, match="without a 0/1 label"):
+            M.evaluate(bad, [], F.lit(0.5)).collect()
+    with pytest.raises(PySparkException, match="no rows"):
+        M.evaluate(spark.createDataFrame([], columns), ["site"], F.lit(0.5)).collect()

@@ -4,8 +4,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stayline.operators.features import observable_columns, window_features
-from stayline.sources import ledger, manifest, provenance, psv, store, synth
+from stayline.sources import ledger, manifest, provenance, psv, store
 from stayline.spec import RAW_COLUMNS, PanelSpec
+from tests import synth
 from tests.conftest import STAYS, stay_lines, write_stays
 
 SPEC = PanelSpec()
@@ -61,9 +62,21 @@ def test_quarantine(spark, tmp_path):
     add(tmp_path, "p000002.psv", good()[:-5].rsplit("|", 3)[0] + "\n")
     add(tmp_path, "p000003.psv", HEADER + "\n")
     add(tmp_path, "p000004.psv", good().split("\n", 1)[1])
+    add(tmp_path, "p000005.psv", "")
     add(tmp_path, "p100001.psv", good(), "B")
     got = {r["path"].rsplit("/", 1)[1]: (r["wrong_header"], r["wrong_field_count"], r["no_rows"]) for r in psv.quarantine(spark, str(tmp_path)).collect()}
-    assert got == {"p000002.psv": (0, 1, 0), "p000003.psv": (0, 0, 1), "p000004.psv": (1, 0, 0)}
+    assert got == {"p000002.psv": (0, 1, 0), "p000003.psv": (0, 0, 1), "p000004.psv": (1, 0, 0), "p000005.psv": (1, 0, 1)}
+
+
+def test_files_of_zero_bytes_are_found(spark, tmp_path):
+    add(tmp_path, "p000001.psv", good())
+    add(tmp_path, "p000002.psv", "")
+    add(tmp_path, "p100001.psv", good(), "B")
+    listed = {r["name"]: (r["site"], r["length"] > 0) for r in psv.list_files(spark, str(tmp_path)).collect()}
+    assert listed == {"p000001.psv": ("A", True), "p000002.psv": ("A", False), "p100001.psv": ("B", True)}
+    with pytest.raises(ValueError, match="p000002"):
+        psv.load_cohort(spark, str(tmp_path))
+    assert psv.load_cohort(spark, str(tmp_path), strict=False).select("patient_id").distinct().count() == 2
 
 
 def test_manifest(spark, tmp_path):
@@ -120,9 +133,9 @@ def test_design_cache(spark, cohort, tmp_path):
     rows, meta = store.read_design(spark, path)
     assert meta["n_rows"] == 8
     assert store.concatenate_designs([rows, rows]).count() == 16
-    with pytest.raises(ValueError, match="column orders"):
+    with pytest.raises(ValueError, match="same order"):
         store.concatenate_designs([rows, rows.select(rows.columns[::-1])])
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         store.write_design(one.limit(0), path, columns, (6,), "x")
 
 
@@ -150,12 +163,16 @@ def test_held_out_site_is_scored_once(spark, tmp_path):
     assert len(calls) == 2
 
 
-def test_provenance(spark):
-    block = provenance.provenance(inputs={"A": "abc"})
-    again = provenance.provenance(inputs={"A": "abc"})
-    assert {k: v for k, v in block.items() if k != "timestamp_utc"} == {k: v for k, v in again.items() if k != "timestamp_utc"}
-    assert block["packages"]["pyspark"] != "not installed" and "abc" in provenance.footer(block)
-    assert provenance.with_provenance(spark.range(1), block).first()["seed"] == block["seed"]
+def test_origin_is_the_same_for_repeated_runs(spark):
+    inputs = spark.createDataFrame([("A", "abc"), ("B", "def")], "site string, digest string")
+    key = lambda d, seed=1: provenance.origin_key(provenance.origin(spark, d, seed)).first()["origin"]
+    assert key(inputs) == key(inputs.repartition(3))
+    assert key(inputs) != key(inputs, seed=2)
+    assert key(inputs) != key(inputs.where("site = 'A'"))
+    facts = {(r["kind"], r["name"]): r["value"] for r in provenance.origin(spark, inputs).collect()}
+    assert facts["input", "B"] == "def" and facts["session", "spark"] == spark.version
+    assert provenance.with_origin(spark.range(2), "k").where("origin = 'k'").count() == 2
+    assert provenance.tree_facts("/") == []
 
 
 def test_synthetic_cohort(spark):
