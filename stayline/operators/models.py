@@ -99,6 +99,20 @@ class SentinelFiller:
         return design.withColumn(VECTOR, array_to_vector(F.array(*filled)))
 
 
+def linear_score(
+    design: DataFrame, scaler: Standardizer, weights: Mapping[str, float], intercept: float, keep: Sequence[str]
+) -> DataFrame:
+    """`keep` columns plus `score` of a logistic model with known weights.
+
+    Scores are rounded to six places, so that the order of the sum does not
+    decide a tie or a threshold.
+    """
+    margin = F.lit(float(intercept))
+    for c in scaler.columns:
+        margin = margin + scaler.z(c) * F.lit(float(weights.get(c, 0.0)))
+    return design.select(*keep, F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)), 6).alias("score"))
+
+
 # -- fits --------------------------------------------------------------------------
 
 

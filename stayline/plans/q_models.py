@@ -36,6 +36,21 @@ def stored_design(spark, sf) -> DataFrame:
     return cut_lineage(design(spark, sf))
 
 
+#: With it about a tenth of the hours lie above the frozen thresholds.
+INTERCEPT = -0.5
+_MARGIN = " + ".join(f"({_Z[c]}) * {num(w)}" for c, w in WEIGHTS.items())
+MODEL = STATS + f""", scored AS (SELECT site, user_id, hour, CAST(clock AS BIGINT) AS clock, label, split,
+  round(1 / (1 + exp(-({num(INTERCEPT)} + {_MARGIN}))), 6) AS score FROM design, stats)"""
+
+
+def model_scored(spark, sf) -> DataFrame:
+    """All hours scored by the fixed weights, the same that the attributions use."""
+    rows = stored_design(spark, sf)
+    scaler = MD.Standardizer.fit(part(rows, "a_train"), COLUMNS)
+    keep = [*KEYS, F.col("clock").cast("bigint").alias("clock"), "label", "split"]
+    return MD.linear_score(rows, scaler, WEIGHTS, INTERCEPT, keep)
+
+
 def part(rows: DataFrame, split: str) -> DataFrame:
     return rows.filter(F.col("split") == split)
 
@@ -112,6 +127,14 @@ def e6(spark, sf):
     return fitted.score(part(rows, "b_eval"), [*KEYS, "label"])
 
 
+@register(
+    "e6_fixed_weight_scores",
+    MODEL + " SELECT site, user_id, hour, label, round(score, 6) AS score FROM scored WHERE split = 'b_eval'",
+)
+def e6_fixed(spark, sf):
+    return part(model_scored(spark, sf), "b_eval").select(*KEYS, "label", "score")
+
+
 @register("e7_isotonic")
 def e7(spark, sf):
     rows = cut_lineage(B.scored_splits(spark, sf).select(*B.ENTITY, "hour", "label", "score", "split"))
