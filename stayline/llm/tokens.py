@@ -21,13 +21,12 @@ import os
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
 from stayline.llm.words import buffer_of, hash_spans
 
 #: Distinct segments kept by a worker; when full the store starts again.
-STORE_SEGMENTS = 300_000
+STORE_SEGMENTS = 200_000
 #: Fixed value: the pre-token pattern of byte-level BPE with `use_regex`.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -95,7 +94,8 @@ class SegmentStore:
 
     def slots_for(self, hashes: np.ndarray, encode_new) -> np.ndarray:
         """The slot of each segment; `encode_new(positions)` gives ids, offsets and counts of unseen ones."""
-        codes, distinct = pd.factorize(hashes)
+        found = pa.array(hashes).dictionary_encode()
+        codes, distinct = found.indices.to_numpy(), found.dictionary.to_numpy()
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         if self.slots + len(distinct) > max(STORE_SEGMENTS, 2 * len(distinct)):
