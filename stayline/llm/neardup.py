@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.llm.arrow import by_text, map_slices
@@ -243,7 +243,7 @@ def compare_blocks(members: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     return rows.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(run, "a binary, b binary")
 
 
-def _parts(shingles: F.Column, n: F.Column, settings: Settings) -> F.Column:
+def _parts(shingles: Column, n: Column, settings: Settings) -> Column:
     by_size = F.ceil(shingles / F.lit(settings.block_shingles))
     return F.greatest(by_size, F.ceil(n / F.lit(settings.block_members))).cast("int")
 

@@ -51,11 +51,13 @@ def by_hand(docs, mix, leaf_of, tokens_of):
             name = str(d[0]) if d[0] is not None else hashlib.md5(d[1].encode()).hexdigest() if d[1] is not None else ""
             return hashlib.md5(f"{mix.seed}:{full}:{name}".encode()).hexdigest()
 
+        sums = {}
+        for d in own:
+            sums[key(d)] = sums.get(key(d), 0) + tokens_of(d)
         taken, last = 0, None
-        for k in sorted({key(d) for d in own}):
-            n = sum(tokens_of(d) for d in own if key(d) == k)
-            if n and taken < rest:
-                last, taken = k, taken + n
+        for k in sorted(sums):
+            if sums[k] and taken < rest:
+                last, taken = k, taken + sums[k]
         out += [(d[0], budget, full + (last is not None and key(d) <= last)) for d in own]
     return sorted((r for r in out if r[2]), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
 
