@@ -158,7 +158,7 @@ FINGERPRINTED = (
 )
 
 
-def compare_neighbours(docs: DataFrame, blocks_per_partition: int = 2) -> DataFrame:
+def compare_neighbours(docs: DataFrame, blocks_per_partition: int = 8) -> DataFrame:
     """Fingerprints of every row of `docs` (doc_id, text) and of its edit by the next row in descending doc_id.
 
     After the last row comes the first. A null text is empty; null doc_ids come
