@@ -191,16 +191,24 @@ def evaluate(
         ratio(F.lit(2400.0) * F.col("n_alerts"), n).alias("alerts_per_100_days"),
         normalised(F.col("_observed"), F.col("_inaction"), F.col("_best")).alias("utility"),
     )
-    return join_groups(record, rank_metrics(scored, groups), groups)
+    return _refuse_empty(join_groups(record, rank_metrics(scored, groups), groups), sums)
 
 
 def _refuse_unusable(sums: DataFrame) -> DataFrame:
-    """Fail the query if any group has bad rows or there is no group at all."""
+    """Fail the query if any group has bad rows."""
     message = F.concat(F.lit(BAD_ROWS), F.col("_bad").cast("string"))
-    checked = sums.withColumn("n_hours", F.when(F.col("_bad") > 0, F.raise_error(message).cast("bigint")).otherwise(F.col("n_hours")))
+    return sums.withColumn("n_hours", F.when(F.col("_bad") > 0, F.raise_error(message).cast("bigint")).otherwise(F.col("n_hours")))
+
+
+def _refuse_empty(record: DataFrame, sums: DataFrame) -> DataFrame:
+    """Fail the query if there is no group at all.
+
+    The check is united with the finished record: inside a join Spark may skip
+    it once it sees that the other side is empty.
+    """
     none = sums.agg(F.count(F.lit(1)).alias("n_hours"))
     none = none.where(F.when(F.col("n_hours") == 0, F.raise_error(F.lit(NO_ROWS)).cast("boolean")).otherwise(F.lit(False)))
-    return checked.unionByName(none, allowMissingColumns=True)
+    return record.unionByName(none, allowMissingColumns=True)
 
 
 def reliability(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
