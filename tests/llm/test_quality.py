@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from stayline.llm import quality, tokens
 from tests.llm.helpers import empty, odd_documents, prose, table
@@ -89,3 +90,29 @@ def test_labelled_prose_is_kept(spark):
     good = [r["kept"] for r in rows if r["quality"] == 1]
     bad = [r["kept"] for r in rows if r["quality"] == 0]
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.7 * len(bad)
+
+
+def test_long_clean_prose_is_kept(spark):
+    """Distinct good texts one after the other: the verdict does not depend on the number of tokens."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    texts = [r["text"] for r in rows.where("lang = 'en' AND quality = 1").select("text").distinct().orderBy(F.md5("text")).collect()]
+    per_char = quality.fertility(pa.array(["\n".join(texts)]), MODEL)[0][0] / sum(map(len, texts))
+    docs = []
+    for k, n in enumerate((50_000, 1_000_000)):
+        part, held = [], 0
+        for text in texts:
+            if held * per_char < 1.05 * n:
+                part.append(text)
+                held += len(text)
+        docs.append((k, "\n".join(part), "en", "src1"))
+    got = sorted(quality.quality(table(spark, docs), MODEL).collect())
+    tokens_of = [r["word_chars"] / r["chars_per_token"] for r in got]
+    assert tokens_of[0] > 50_000 and tokens_of[1] > 1_000_000, tokens_of
+    assert all(r["kept"] for r in got), got
+    assert abs(got[0]["entropy"] - got[1]["entropy"]) < 0.02
+
+
+def test_windows_cover_the_whole_text():
+    clean, same = np.arange(quality.WINDOW), np.zeros(quality.WINDOW, np.int64)
+    assert quality.window_entropy(np.concatenate([clean, same, same])) == 1 / 3
+    assert abs(quality.window_entropy(np.concatenate([same, np.arange(512)])) - 512 / (quality.WINDOW + 512)) < 1e-12
