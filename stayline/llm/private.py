@@ -8,8 +8,10 @@ entity, terms above one threshold are generalised to their shape and above a
 higher one removed, besides the patterns' own spans.
 
 Terms are runs of letters and digits, A-Z folded, and are counted by a 64-bit
-hash. Only entities and pairs with enough documents are counted on, since one
-document proves no association. All counts are over all documents.
+hash. All counts are over the distinct texts of all documents, so copies of a
+text prove nothing. Every entity is judged, one of a single text too: the
+estimate is smoothed by texts that might hold the term without the entity, so
+little evidence lowers it and more evidence raises it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.llm.arrow import by_text, map_slices, texts_of
@@ -81,12 +83,17 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Least documents of an entity and of an entity with a term, and the two thresholds."""
+    """Least texts of an entity and of an entity with a term, the two thresholds, and texts added to those of a term."""
 
     support: int = 3
     generalise: float = 0.75
     remove: float = 0.9
     cells: int = 1 << 22
+    prior: float = 0.0
+
+
+#: What is dealt: every entity and every term, as if one more text held the term without the entity.
+EVERY = Disclosure(support=1, prior=1.0)
 
 
 def entity_of(kind: str, value: str) -> str:
@@ -94,11 +101,11 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-SCANNED = "uid bigint, doc_id bigint, base string, entities array<string>, text string"
+SCANNED = "uid bigint, doc_id bigint, digest string, base string, entities array<string>, text string"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, pattern spans (kind:start:end, comma-joined), entities, and the text where there is an entity."""
+    """uid, doc_id, digest of the text, pattern spans (kind:start:end, comma-joined), entities, and the text where there is an entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -110,15 +117,21 @@ def scan(docs: DataFrame) -> DataFrame:
                 names = [sorted({entity_of(k, t[a:b]) for a, b, k in s}) for t, s in zip(texts, spans)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(uid, uid + len(texts))), part.column(0),
+                        pa.array(np.arange(uid, uid + len(texts))), part.column(0), part.column(2),
                         pa.array([written(s) for s in spans], pa.string()), pa.array(names, pa.list_(pa.string())),
                         pa.array([t if n else None for t, n in zip(texts, names)], pa.string()),
                     ],
-                    names=["uid", "doc_id", "base", "entities", "text"],
+                    names=["uid", "doc_id", "digest", "base", "entities", "text"],
                 )
                 uid += len(texts)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SCANNED)
+    return docs.select(F.col("doc_id").cast("bigint"), *keyed_text()).mapInArrow(run, SCANNED)
+
+
+def keyed_text() -> tuple[Column, Column]:
+    """The text, a null one as empty, and its digest."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return text.alias("text"), F.md5(text).alias("digest")
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
@@ -136,45 +149,88 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(FOLD[data], starts, ends), row_bounds(rows, len(column))
 
 
-def document_terms(rows: DataFrame, keep: np.ndarray | None = None, shift: int = 0) -> DataFrame:
-    """uid and term for each distinct term of each row of `rows` (uid, text); `keep` limits terms to hash cells."""
+def document_terms(rows: DataFrame) -> DataFrame:
+    """uid and term for each distinct term of each row of `rows` (uid, text)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         hashes, bounds = term_hashes(batch.column(1))
         own = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        if keep is not None:
-            own = [h[keep[(h >> np.uint64(shift)).astype(np.int64)]] for h in own]
         ids = np.repeat(batch.column(0).to_numpy(), [len(h) for h in own])
         return {"uid": ids, "term": np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64)}
 
     return map_slices(rows, run, "uid bigint, term bigint")
 
 
+def cells_of(rows: DataFrame, key: Column, settings: Disclosure) -> tuple[np.ndarray, int]:
+    """A table of at most `cells` flags, set for the 64-bit keys of `rows`, and the shift from key to cell."""
+    shift = 64 - settings.cells.bit_length() + 1
+    found = rows.select(F.shiftrightunsigned(key, shift).alias("cell")).distinct().toArrow()
+    flags = np.zeros(settings.cells, bool)
+    flags[found.column(0).to_numpy()] = True
+    return flags, shift
+
+
+def texts_of_terms(docs: DataFrame, scanned: DataFrame, together: DataFrame, settings: Disclosure) -> DataFrame:
+    """term and n_term, its distinct texts in the whole corpus, for the terms of `together` at least.
+
+    Only texts whose digest may occur twice are shuffled to be told apart; both
+    fixed-size tables of cells leave rows out before a shuffle.
+    """
+    keep, shift = cells_of(together, F.col("term"), settings)
+    copied = scanned.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    again, by = cells_of(copied, F.xxhash64("digest"), settings)
+    rows = docs.select(*keyed_text()).select(F.xxhash64("digest").alias("uid"), "text", "digest")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        key = batch.column(0).to_numpy().view(np.uint64)
+        hit = pa.array(again[(key >> np.uint64(by)).astype(np.int64)])
+        part = batch.filter(hit)
+        return {"uid": part.column(0), "text": part.column(1), "digest": part.column(2)}
+
+    def count(batch: pa.RecordBatch) -> dict:
+        key = batch.column(0).to_numpy().view(np.uint64)
+        single = ~again[(key >> np.uint64(by)).astype(np.int64)] if batch.num_columns > 2 else np.ones(batch.num_rows, bool)
+        hashes, bounds = term_hashes(batch.column(1))
+        own = [np.unique(hashes[a:b]) for a, b, s in zip(bounds[:-1].tolist(), bounds[1:].tolist(), single.tolist()) if s]
+        terms, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+        kept = keep[(terms >> np.uint64(shift)).astype(np.int64)]
+        return {"term": terms[kept].view(np.int64), "n": times[kept]}
+
+    once = map_slices(rows, count, "term bigint, n bigint")
+    told_apart = map_slices(rows, run, "uid bigint, text string, digest string").dropDuplicates(["digest"])
+    copies = map_slices(told_apart.select("uid", "text"), count, "term bigint, n bigint")
+    return once.unionByName(copies).groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, settings: Disclosure) -> DataFrame:
-    """uid and term for the terms of each scanned row that give one of its entities away, with their disclosure."""
-    n_docs = docs.count()
-    names = scanned.where(F.size("entities") > 0).select("uid", F.explode("entities").alias("entity"))
-    entities = names.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= settings.support)
-    frequent = cut_lineage(names.join(entities, "entity"))
-    holding = scanned.join(frequent.select("uid").distinct(), "uid").select("uid", "text")
-    pairs = cut_lineage(document_terms(holding).join(frequent, "uid"))
+    """digest and term for the terms of each scanned text that give one of its entities away, with their disclosure.
+
+    Entities of the same texts have the same counts with every term and are
+    counted as one group; so those of a single text are one, however many.
+    """
+    n_texts = scanned.select("digest").distinct().count()
+    holding = scanned.where(F.size("entities") > 0)
+    first = holding.groupBy("digest").agg(F.min("uid").alias("uid")).select("uid")
+    texts = cut_lineage(holding.join(first, "uid", "left_semi").select("uid", "digest", "entities", "text"))
+    names = texts.select("uid", F.explode("entities").alias("entity"))
+    entities = names.groupBy("entity").agg(
+        F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("uid")).alias("_a"), F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("_b")
+    )
+    entities = entities.where(F.col("n_entity") >= settings.support)
+    grouped = names.join(entities, "entity").select("uid", F.xxhash64("n_entity", "_a", "_b").alias("entity"), "n_entity").distinct()
+    frequent = cut_lineage(grouped)
+    pairs = cut_lineage(document_terms(texts.select("uid", "text")).join(frequent, "uid"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
     together = cut_lineage(together.where(F.col("n_both") >= settings.support))
-    # documents of the candidate terms over the whole corpus; other terms are left out by hash cell before the shuffle
-    shift = 64 - settings.cells.bit_length() + 1
-    cells = together.select(F.shiftrightunsigned("term", shift).alias("cell")).distinct().collect()  # at most `cells`
-    keep = np.zeros(settings.cells, bool)
-    keep[[r["cell"] for r in cells]] = True
-    texts = docs.select(F.lit(0).cast("bigint").alias("uid"), F.col("text").cast("string").alias("text"))
-    everywhere = document_terms(texts, keep, shift).groupBy("term").agg(F.count("*").alias("n_term"))
-    counted = together.join(everywhere, "term")
-    n = F.lit(float(max(n_docs, 1)))
-    mutual = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    counted = together.join(texts_of_terms(docs, scanned, together, settings), "term")
+    n = F.lit(float(max(n_texts, 1)))
+    mutual = F.log(n * F.col("n_both") / (F.col("n_entity") * (F.col("n_term") + F.lit(settings.prior))))
     own = F.log(n / F.col("n_entity"))
     disclosure = F.when(own > 0, mutual / own).otherwise(F.lit(0.0))
     flagged = counted.withColumn("disclosure", disclosure).where(F.col("disclosure") >= settings.generalise)
     told = pairs.join(flagged.select("entity", "term", "disclosure"), ["entity", "term"])
-    return told.groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = told.groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure"))
+    return told.join(texts.select("uid", "digest"), "uid").drop("uid")
 
 
 PRIVATE = "doc_id bigint, base string, spans string, sanitised string"
@@ -185,17 +241,17 @@ def shape(term: str) -> str:
     return re.sub(r"[^\W\d_]", lambda m: "X" if m.group().isupper() else "x", re.sub(r"\d", "0", term))
 
 
-def sanitise(docs: DataFrame, settings: Disclosure = Disclosure()) -> DataFrame:
+def sanitise(docs: DataFrame, settings: Disclosure = EVERY) -> DataFrame:
     """doc_id, base and all spans, and the sanitised text (null where nothing changes) of every row of `docs`.
 
     Spans are kind:start:end in code points, comma-joined by start; kinds are
     those of the patterns, "general" and "removed". A null text is empty; a null
-    doc_id stays null; repeated rows count as documents of their own and give
-    repeated rows; other columns are not used. An empty table gives no rows.
+    doc_id stays null; repeated rows give repeated rows, but equal texts count as
+    one; other columns are not used. An empty table gives no rows.
     """
     scanned = cut_lineage(scan(docs))
     terms = disclosing_terms(docs, scanned, settings)
-    by_row = terms.groupBy("uid").agg(F.collect_list("term").alias("terms"), F.collect_list("disclosure").alias("strength"))
+    by_text = terms.groupBy("digest").agg(F.collect_list("term").alias("terms"), F.collect_list("disclosure").alias("strength"))
     remove = settings.remove
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -225,7 +281,12 @@ def sanitise(docs: DataFrame, settings: Disclosure = Disclosure()) -> DataFrame:
         columns = {k: pa.array(v, pa.string()) for k, v in out.items()}
         return {"doc_id": batch.column(0), **columns}
 
-    rows = scanned.join(by_row, "uid", "left").select("doc_id", "base", "text", "terms", "strength")
+    columns = ["doc_id", "base", "text", "terms", "strength"]
+    with_entity = scanned.where(F.size("entities") > 0).join(by_text, "digest", "left").select(*columns)
+    without = scanned.where(F.size("entities") == 0).select(
+        "doc_id", "base", "text", F.lit(None).cast("array<bigint>").alias("terms"), F.lit(None).cast("array<double>").alias("strength")
+    )
+    rows = with_entity.unionByName(without)
     return map_slices(rows, run, PRIVATE)
 
 

@@ -134,3 +134,39 @@ def test_odd_documents(spark):
     got = private.private_digests(private.sanitise(docs)).collect()
     assert len(got) == len(odd_documents()) and sum(r["n_email"] for r in got) == 0
     assert private.sanitise(empty(spark)).count() == 0
+
+
+def test_entities_of_one_text_are_judged(spark):
+    """No support floor: the word beside a single address is told; words of many texts are left."""
+    rows = [(0, f"mail ann@once.org Zanzibara {prose(1, 60)}", "en", "src1")]
+    rows += [(1 + k, f"{prose(1, 60)} {prose(50 + k, 40)}", "en", "src1") for k in range(300)]
+    got = {r["doc_id"]: r for r in private.sanitise(table(spark, rows)).collect()}
+    assert got[0]["spans"] == "general:0:4,email:5:17,general:18:27"
+    assert "Zanzibara" not in got[0]["sanitised"] and "mail" not in got[0]["sanitised"].split()
+    assert prose(1, 60).split()[0] in got[0]["sanitised"] and got[1]["sanitised"] is None
+
+
+def test_copies_of_a_text_count_once(spark, people):
+    """Copies change no verdict, and every copy gets it, whatever its number."""
+    for settings in (private.EVERY, private.Disclosure()):
+        once = {r["doc_id"]: r["spans"] for r in private.sanitise(table(spark, people), settings).collect()}
+        copied = [*people, *people[18:22], *people[18:22], people[0], people[0], people[30]]
+        got = private.sanitise(table(spark, copied).repartition(3), settings).collect()
+        assert len(got) == len(copied) and all(r["spans"] == once[r["doc_id"]] for r in got)
+
+
+def test_more_evidence_tells_more(spark):
+    """The smoothed estimate of a term that occurs only with an entity grows with the texts that show it."""
+    rows = [(k, f"a@one.org Alphaterm {prose(k, 30)}", "en", "s") for k in range(1)]
+    rows += [(10 + k, f"b@four.org Betaterm {prose(10 + k, 30)}", "en", "s") for k in range(4)]
+    rows += [(100 + k, prose(100 + k, 30), "en", "s") for k in range(100)]
+    docs = table(spark, rows)
+    import pyarrow as pa
+
+    terms = private.term_hashes(pa.array(["Alphaterm Betaterm"]))[0].view("int64").tolist()
+    scanned = private.cut_lineage(private.scan(docs))
+    told = private.disclosing_terms(docs, scanned, private.Disclosure(support=1, prior=1.0, generalise=0.0)).collect()
+    strength = [max(r["disclosure"] for r in told if r["term"] == t) for t in terms]
+    n = len(rows)
+    assert abs(strength[0] - math.log(n / 2) / math.log(n)) < 1e-9
+    assert abs(strength[1] - math.log(n * 4 / (4 * 5)) / math.log(n / 4)) < 1e-9 and strength[1] > strength[0]
