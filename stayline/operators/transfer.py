@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayline.operators.cohort import assert_adaptation_disjoint, draw_entities, draw_seed
 from stayline.operators.metrics import evaluate
 from stayline.operators.models import fit_isotonic, recalibrate, stage2_boost
+from stayline.session import cut_lineage
 from stayline.spec import CONFIG, PanelSpec
 
 
@@ -39,27 +40,38 @@ def transfer_curve(
     """Average precision and utility by (n, draw, mode) at the frozen threshold.
 
     `adapt` and `evaluation` carry features, label, hour and the base `score`;
-    both should be stored frames. Draws are independent of each other. Only the
-    fits loop on the driver: all scored frames are evaluated in one job.
+    both should be stored frames. Draws are independent of each other, and each
+    is fitted on stored rows. Only the fits loop on the driver: all scored frames
+    are evaluated in one job, the unadapted one (n = 0) once for all its draws.
     """
     entity = spec.key
     keep = [*entity, "hour", "label"]
+    base = evaluation.select(*keep, "score")
     frames = None
     for n in n_values:
-        for draw in range(draws):
-            base = evaluation.select(*keep, "score")
+        for draw in range(draws if n > 0 else 1):
             recal = tuned = base
             if n > 0:
                 drawn = draw_entities(adapt, spec, n, draw_seed(n, draw, seed))
                 assert_adaptation_disjoint(drawn, evaluation, spec)
-                rows = adapt.join(drawn, entity, "left_semi")
+                rows = cut_lineage(adapt.join(drawn, entity, "left_semi"))
                 recal = recalibrate(fit_isotonic(rows), base)
                 tuned = stage2_boost(rows, columns, rounds=rounds, seed=seed).score(evaluation, keep)
-            for mode, scored in (("recalib", recal), ("finetune", tuned)):
+            modes = (("recalib", recal), ("finetune", tuned)) if n > 0 else (("base", base),)
+            for mode, scored in modes:
                 tagged = scored.select(
                     F.lit(n).alias("n"), F.lit(draw).alias("draw"), F.lit(mode).alias("mode"),
                     *keep, "score",
                 )
                 frames = tagged if frames is None else frames.unionByName(tagged)
     record = evaluate(frames, ["n", "draw", "mode"], F.lit(float(threshold)), entity)
-    return record.select("n", "draw", "mode", "auprc", "utility")
+    same = F.array(*[F.struct(F.lit(d).alias("draw"), F.lit(m).alias("mode")) for d in range(draws) for m in ("recalib", "finetune")])
+    own = F.array(F.struct("draw", "mode"))
+    each = record.withColumn("_e", F.explode(F.when(F.col("mode") == "base", same).otherwise(own)))
+    return each.select("n", F.col("_e.draw").alias("draw"), F.col("_e.mode").alias("mode"), "auprc", "utility")
+
+
+def fillable(adapt: DataFrame, spec: PanelSpec, n_values: Sequence[int] = CONFIG.transfer_n) -> tuple[int, ...]:
+    """The sizes that `adapt` has entities for."""
+    available = adapt.select(*spec.key).distinct().count()
+    return tuple(n for n in n_values if n <= available)

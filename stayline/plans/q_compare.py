@@ -6,7 +6,7 @@ from stayline.operators import cohort as CO
 from stayline.operators import compare as C
 from stayline.operators import metrics as M
 from stayline.operators import models as MD
-from stayline.operators.transfer import calibration_arms, transfer_curve
+from stayline.operators.transfer import calibration_arms, fillable, transfer_curve
 from stayline.plans import bindings as B
 from stayline.plans.q_metrics import reliability_sql
 from stayline.plans.registry import register
@@ -159,7 +159,7 @@ def g6(spark, sf):
 
 @register("g7_transfer_curve")
 def g7(spark, sf):
-    """Base score adapted with n users of site B; scored on the rest of site B."""
+    """Base score adapted with n users of site B, for the sizes of the study that site B fills; scored on the rest of site B."""
     rows = cut_lineage(
         B.event_panel(spark, sf, scores=True).join(CO.split_sites(B.events(spark, sf), B.EVENTS), B.EVENTS.key)
         .filter(F.col("split").isin("b_train", "b_eval"))
@@ -168,8 +168,7 @@ def g7(spark, sf):
     adapt = rows.filter(F.col("split") == "b_train").drop("split")
     evaluation = rows.filter(F.col("split") == "b_eval").drop("split")
     return transfer_curve(
-        adapt, evaluation, B.EVENTS, ["n_events", "n72", "ecum"], B.FROZEN["A"],
-        n_values=(0, 2, 5), draws=2, rounds=3,
+        adapt, evaluation, B.EVENTS, ["n_events", "n72", "ecum"], B.FROZEN["A"], n_values=fillable(adapt, B.EVENTS)
     )
 
 

@@ -130,3 +130,18 @@ def test_first_cases(design):
     hits = design.filter("score >= 0.5").orderBy(*KEYS)
     first = hits.filter("label = 1").first()
     assert [got["true_positive"][k] for k in KEYS] == [first[k] for k in KEYS]
+
+
+def test_registered_curve_is_the_whole_study(monkeypatch, spark):
+    """Draws and rounds are the study's, and every size that the adaptation side fills is there."""
+    from stayline.plans import q_compare
+    from stayline.spec import CONFIG
+    from tests.conftest import TESTDATA
+
+    called = {}
+    monkeypatch.setattr(q_compare, "transfer_curve", lambda adapt, *rest, **named: called.update(named, adapt=adapt))
+    q_compare.g7(spark, TESTDATA.replace("sf0.001", "sf0.01"))
+    n = called["adapt"].select("site", "user_id").distinct().count()
+    assert called["n_values"] == tuple(v for v in CONFIG.transfer_n if v <= n) and 50 in called["n_values"]
+    assert called.get("draws", CONFIG.transfer_draws) == CONFIG.transfer_draws
+    assert called.get("rounds", CONFIG.fine_tune_rounds) == CONFIG.fine_tune_rounds
