@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import chat, counts, linededup, merkle, mixing, neardup, packing, private, quality, tokenfile, tokens
+from stayline.llm import (
+    audit, chat, counts, importance, linededup, merkle, mixing, neardup, packing, pieces, private, quality, tokenfile, tokens,
+)
 from stayline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +210,61 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, of their edits by the next document, and how alike they are."""
     return merkle.compare_neighbours(documents(spark, sf_dir))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of all documents towards the benchmark texts, and the rank of the quarter drawn by it."""
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of all 120 orders, by language."""
+    docs = documents(spark, sf_dir).withColumn("part", F.col("lang"))
+    return audit.audit(audit.counted_masks(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+ORACLE["op12_filter_audit"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+failing AS (
+  SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false)] AS fails FROM words),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+counted AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM failing LEFT JOIN marks USING (doc_id) GROUP BY part, fails),
+f(i) AS (VALUES (1), (2), (3), (4), (5)),
+o AS (SELECT [a.i, b.i, c.i, d.i, 15 - a.i - b.i - c.i - d.i] AS o FROM f a, f b, f c, f d
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i])) = 4),
+removed AS (
+  SELECT part, o, s.i AS step, n, good, toxic, fails[o[s.i]] AS fails_here,
+    len(list_filter(o[1:s.i - 1], lambda x: fails[x])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM counted, o, f s),
+steps AS (
+  SELECT part, o, step, coalesce(sum(n) FILTER (NOT gone AND NOT fails_here), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND fails_here), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND fails_here), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (alone AND fails_here), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails_here), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT gone AND fails_here), 0)::BIGINT AS toxic_lost
+  FROM removed GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda x: chr(64 + x)), '') AS filter_order, step::INTEGER AS step, kept, removed,
+  redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, o[step])::BIGINT AS shapley
+FROM steps
+"""
+
+
+@query
+def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of all documents with an end id, decoded again; digests of both."""
+    rows = pieces.encode(documents(spark, sf_dir), tokens.public_path(PIECE_VOCABULARY), decoded=True)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -1,0 +1,117 @@
+import random
+from itertools import permutations
+
+import pytest
+from pyspark.sql import functions as F
+
+from stayline.llm import audit
+from tests.llm.helpers import empty, odd_documents, prose, table
+
+
+def by_hand(masked, names="ABCDE"):
+    """Every order applied to every document; `masked` has (part, set of failing letters, good, toxic)."""
+    out = []
+    for part in {m[0] for m in masked}:
+        own = [m for m in masked if m[0] == part]
+        rows, total = [], dict.fromkeys(names, 0)
+        for order in permutations(names):
+            left = own
+            for step, f in enumerate(order, 1):
+                gone = [m for m in left if f in m[1]]
+                left = [m for m in left if f not in m[1]]
+                total[f] += len(gone)
+                failing = [m for m in own if f in m[1]]
+                rows.append(("".join(order), step, len(left), len(gone), len(failing) - len(gone), sum(m[1] == {f} for m in own),
+                             sum(m[2] for m in gone), sum(m[3] for m in gone), f))
+        out += [(part, *r[:-1], total[r[-1]]) for r in rows]
+    return sorted(out)
+
+
+def masks_of(docs, labels):
+    out = []
+    marks = {}
+    for d, q, t in labels:
+        good, toxic = marks.get(d, (0, 0))
+        marks[d] = (max(good, int(q == 1)), max(toxic, int(t == 1)))
+    for doc, text, lang in docs:
+        text = text or ""
+        words = text.encode().split()
+        fails = set()
+        fails |= {"A"} if len(words) < 200 else set()
+        fails |= {"B"} if 100 * len(set(words)) < 50 * len(words) else set()
+        fails |= {"C"} if 100 * sum("A" <= c <= "Z" for c in text) > 3 * len(text) else set()
+        fails |= {"D"} if any(c in text for c in "#$%&*|") else set()
+        smaller = any(d is not None and doc is not None and d < doc and (t or "") == text for d, t, _ in docs)
+        fails |= {"E"} if smaller else set()
+        out.append((lang or "", fails, *marks.get(doc, (0, 0)))) if doc is not None else out.append((lang or "", fails, 0, 0))
+    return out
+
+
+def run(df, labels):
+    return sorted(tuple(r) for r in audit.audit(audit.counted_masks(df.withColumn("part", F.col("lang")), labels)).collect())
+
+
+def labels_table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+
+
+def test_adjacent_swaps_reach_every_order():
+    for n in (1, 2, 3, 5):
+        order, seen = list(range(n)), {tuple(range(n))}
+        for at in audit.adjacent_swaps(n):
+            order[at], order[at + 1] = order[at + 1], order[at]
+            seen.add(tuple(order))
+        assert seen == set(permutations(range(n)))
+
+
+@pytest.mark.parametrize("names", ["A", "AB", "ABCD", "ABCDE"])
+def test_diagrams_against_applying_the_filters(names):
+    rng = random.Random(len(names))
+    docs = [("p", {f for f in names if rng.random() < 0.3}, int(rng.random() < 0.5), int(rng.random() < 0.1)) for _ in range(300)]
+    counts = {}
+    for _, fails, good, toxic in docs:
+        mask = sum(1 << i for i, f in enumerate(names) if f in fails)
+        counts[mask] = audit.add(counts.get(mask, audit.ZERO), (1, good, toxic))
+    got = sorted(("p", *r) for r in audit.audit_steps(counts, names))
+    assert got == by_hand(docs, names)
+
+
+def test_equal_parts_of_a_diagram_are_one_node():
+    alike = audit.Diagram({mask: (3, 1, 0) for mask in range(32)}, "ABCDE")
+    assert len(alike.nodes) == 6 and alike.weights[alike.root] == (96, 32, 0)
+    alike.swap(2)
+    assert alike.weights[alike.root] == (96, 32, 0) and alike.order == list("ABDCE")
+
+
+def some_documents(n, seed):
+    rng = random.Random(seed)
+    texts = [prose(i, rng.choice((20, 250, 400))) for i in range(n // 3)]
+    texts += [prose(500, 10) * 40, "a b $ " * 150, prose(7, 260).upper(), prose(8, 260) + " #"]
+    return [(i, rng.choice(texts), rng.choice(("en", "de", None, "")), "src1") for i in range(n)]
+
+
+def test_against_plain_python(spark):
+    rows = some_documents(200, 3)
+    labels = [(i, i % 2, int(i % 11 == 0)) for i in range(0, 200, 3)]
+    got = run(table(spark, rows).repartition(7), labels_table(spark, labels))
+    assert got == by_hand(masks_of([r[:3] for r in rows], labels))
+    assert len(got) == 3 * 600 and max(r[7] for r in got) > 0
+
+
+def test_odd_documents(spark):
+    docs = odd_documents()
+    labels = [(1, 1, 0), (1, 0, 1), (None, 1, 1), (12, None, None), (6, 1, None)]
+    df = table(spark, clashing=("mask", "digest", "_first", "_good", "n"))
+    assert run(df, labels_table(spark, labels)) == by_hand(masks_of([d[:3] for d in docs], labels))
+
+
+def test_a_hot_text_and_a_hot_number(spark):
+    rows = [(i, "same text", "en", "s") for i in range(60)] + [(5, f"text {i % 3}", "de", "s") for i in range(60)]
+    got = run(table(spark, rows).repartition(5), labels_table(spark, [(5, 1, 1)]))
+    assert got == by_hand(masks_of([r[:3] for r in rows], [(5, 1, 1)]))
+
+
+def test_empty_tables(spark):
+    assert run(empty(spark), labels_table(spark, [(1, 1, 1)])) == []
+    rows = [(1, "a", "en", "s")]
+    assert run(table(spark, rows), labels_table(spark, [])) == by_hand(masks_of([(1, "a", "en")], []))
