@@ -24,19 +24,24 @@ from pyspark.sql import functions as F
 
 from stayline.llm.columns import numbered, restored
 from stayline.session import cut_lineage
+
 #: Hex digits of the order key that make a coarse and a fine cell.
 COARSE, FINE = 3, 6
 
 
 @dataclass(frozen=True)
 class Mix:
-    """What to mix. `weights` names children by their path ("en", "en/src1"); others weigh `default_weight`."""
+    """What to mix. `weights` names children by their path; others weigh `default_weight`.
+
+    A path is a tuple of names from the top level down; a string stands for its
+    parts between slashes ("en", "en/src1"), so names that hold a slash need tuples.
+    """
 
     levels: Mapping[str, Column]
     tokens: Column
     share: tuple[int, int] = (1, 2)  # of all tokens at hand, as a fraction
     budget: int | None = None  # instead of a share
-    weights: Mapping[str, int] = field(default_factory=dict)
+    weights: Mapping[str | tuple[str, ...], int] = field(default_factory=dict)
     default_weight: int = 1
     epochs: int = 2
     seed: int = 0
@@ -47,8 +52,8 @@ def word_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
 
 
-def _wide(c: Column) -> Column:
-    return c.cast("decimal(38,0)")
+def _wide(name: str) -> Column:
+    return F.col(name).cast("decimal(19,0)")
 
 
 def _share(children: DataFrame, parent: list[str]) -> DataFrame:
@@ -60,40 +65,41 @@ def _share(children: DataFrame, parent: list[str]) -> DataFrame:
     """
     whole = Window.partitionBy(*parent)
     ratio = (F.col("_most") / F.col("_weight")).alias("ratio")
-    before = whole.orderBy(ratio, "_path").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(ratio, "_name").rowsBetween(Window.unboundedPreceding, -1)
     out = children.withColumn("_left", F.col("_budget") - F.coalesce(F.sum("_most").over(before), F.lit(0)))
     out = out.withColumn("_behind", F.sum("_weight").over(whole) - F.coalesce(F.sum("_weight").over(before), F.lit(0)))
     full = (F.col("_left") > 0) & (_wide("_left") * _wide("_weight") >= _wide("_most") * _wide("_behind"))
     out = out.withColumn("_full", full)
-    first = F.struct(ratio, F.col("_path"), F.greatest("_left", F.lit(0)).alias("left"), F.col("_behind").alias("weight"))
+    first = F.struct(ratio, F.col("_name"), F.greatest("_left", F.lit(0)).alias("left"), F.col("_behind").alias("weight"))
     out = out.withColumn("_open", F.min(F.when(~F.col("_full"), first)).over(whole))
     part = F.expr("CAST(CAST(_open.left AS DECIMAL(19,0)) * CAST(_weight AS DECIMAL(18,0)) DIV CAST(_open.weight AS DECIMAL(19,0)) AS BIGINT)")
     budget = F.when(F.col("_full"), F.col("_most")).otherwise(F.least("_most", part))
     return out.withColumn("budget", budget).drop("_left", "_behind", "_full", "_open")
 
 
-def _wide(name: str) -> Column:
-    return F.col(name).cast("decimal(19,0)")
-
-
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
-    """`leaves` (levels, tokens; one row for each leaf) with the budget of each leaf."""
+    """`leaves` (levels, tokens; one row for each leaf, no null levels) with the budget of each leaf.
+
+    Nodes are told apart by all their levels, whatever characters the names hold.
+    """
     names = list(mix.levels)
-    weights = F.create_map(*[F.lit(x) for k, v in mix.weights.items() for x in (k, int(v))]) if mix.weights else None
-    for depth in range(1, len(names) + 1):
-        leaves = leaves.withColumn(f"_path{depth}", F.concat_ws("/", *[F.col(f"`{n}`") for n in names[:depth]]))
+    by_path = {tuple(k.split("/")) if isinstance(k, str) else tuple(k): int(v) for k, v in mix.weights.items()}
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     budget = min(mix.budget if mix.budget is not None else total * mix.share[0] // mix.share[1], total * mix.epochs)
     above = None
     for depth in range(1, len(names) + 1):
-        path = f"_path{depth}"
-        nodes = leaves.groupBy(*[f"_path{d}" for d in range(1, depth + 1)]).agg((F.sum("tokens") * mix.epochs).alias("_most"))
-        given = F.lit(None) if weights is None else F.element_at(weights, F.col(path))
+        path, parent = names[:depth], names[: depth - 1]
+        nodes = leaves.groupBy(*path).agg((F.sum("tokens") * mix.epochs).alias("_most"))
+        own = {k: v for k, v in by_path.items() if len(k) == depth}
+        given = F.lit(None)
+        if own:
+            table = F.create_map(*[x for k, v in own.items() for x in (F.array(*map(F.lit, k)), F.lit(v))])
+            given = F.element_at(table, F.array(*[F.col(f"`{n}`").cast("string") for n in path]))
         nodes = nodes.withColumn("_weight", F.coalesce(given, F.lit(mix.default_weight)).cast("bigint"))
-        nodes = nodes.withColumn("_path", F.col(path)).where("_weight > 0")
-        nodes = nodes.withColumn("_budget", F.lit(budget)) if above is None else nodes.join(above, f"_path{depth - 1}")
-        above = _share(nodes, [] if above is None else [f"_path{depth - 1}"]).select(path, F.col("budget").alias("_budget"))
-    return leaves.join(above, f"_path{len(names)}").select(*names, "tokens", F.col("_budget").alias("budget"))
+        nodes = nodes.withColumn("_name", F.col(f"`{path[-1]}`")).where("_weight > 0")
+        nodes = nodes.withColumn("_budget", F.lit(budget)) if above is None else nodes.join(above, parent)
+        above = _share(nodes, parent).select(*path, F.col("budget").alias("_budget"))
+    return leaves.join(above, names).select(*names, "tokens", F.col("_budget").alias("budget"))
 
 
 def order_key(doc_id: Column, text: Column, epoch: Column, seed: int) -> Column:

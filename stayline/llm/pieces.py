@@ -35,6 +35,8 @@ from stayline.llm.words import buffer_of, hash_spans
 MARK = "▁"
 #: Compatible or not, by pair; when full the table starts again.
 PAIRS = 1 << 20
+#: Distinct segments whose ids a worker keeps.
+SEGMENTS = 800_000
 #: Places matched at a time, so that the matches of a long segment are never all held.
 STRETCH = 1 << 14
 #: Fixed values of the model file: kinds of pieces that texts may match, and the byte kind; the merge type.
@@ -76,7 +78,7 @@ class PieceModel:
         self.sizes = [len(p) for p in self.names]
         self.pairs: dict[int | None, dict[int, bool]] = {}
         self.n_pairs = 0
-        self.store = SegmentStore()
+        self.store = SegmentStore(SEGMENTS)
 
     # A character without a piece stands for itself as a negative number.
 
@@ -266,7 +268,10 @@ def encode(docs: DataFrame, path: str, end_id: bool = True, decoded: bool = Fals
             stops = stops + np.arange(1, len(stops) + 1)
         bounds = np.concatenate(([0], stops)).astype(np.int32)
         out = {"doc_id": batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat.astype(np.int32)))}
-        return out | ({"decoded": model.library.decode(out["ids"].to_pylist(), num_threads=1)} if decoded else {})
+        if decoded:
+            ids, at = flat.tolist(), bounds.tolist()
+            out["decoded"] = model.library.decode([ids[a:b] for a, b in zip(at, at[1:])], num_threads=1)
+        return out
 
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return map_slices(plain, run, "doc_id bigint, ids array<int>" + (", decoded string" if decoded else ""))

@@ -82,7 +82,8 @@ def _ordered_ranks(spec: dict) -> dict[bytes, int] | None:
 class SegmentStore:
     """Ids of distinct segments by their 64-bit hash, filled as new ones come."""
 
-    def __init__(self):
+    def __init__(self, limit: int = STORE_SEGMENTS):
+        self.limit = limit
         self.clear()
 
     def clear(self) -> None:
@@ -98,7 +99,7 @@ class SegmentStore:
         codes, distinct = found.indices.to_numpy(), found.dictionary.to_numpy()
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if self.slots + len(distinct) > max(STORE_SEGMENTS, 2 * len(distinct)):
+        if self.slots + len(distinct) > max(self.limit, 2 * len(distinct)):
             self.clear()
         get = self.slot_of.get
         slots = np.array([get(h, -1) for h in distinct.tolist()], np.int64)

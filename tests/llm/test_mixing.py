@@ -102,6 +102,24 @@ def test_random_trees(spark):
         assert got == budgets(leaves, mix)
 
 
+def test_names_that_hold_the_separator(spark):
+    """Leaves whose levels give one text when joined are leaves of their own, with weights of their own by tuples."""
+    names = ["a", "b", "c", "a/b", "b/c", "a/b/c", "/", "", "//"]
+    rng = random.Random(8)
+    for weights in ({}, {("a/b", "c"): 7, ("a", "b/c"): 1, ("a",): 3, "b/c": 5, ("/",): 0}):
+        docs = [(i, "w " * rng.randrange(1, 40), rng.choice(names), rng.choice(names)) for i in range(150)]
+        docs += [(500, "w w w", "a/b", "c"), (501, "w w w", "a", "b/c")]
+        by_tuple = {tuple(k.split("/")) if isinstance(k, str) else k: v for k, v in weights.items()}
+        # levels without slashes one by one stand for those with them, in the same order
+        plain = {n: f"{i:02d}" for i, n in enumerate(sorted(names))}
+        named = [(d, t, plain[a], plain[b]) for d, t, a, b in docs]
+        own = {"/".join(plain[x] for x in k): v for k, v in by_tuple.items()}
+        args = {"share": (1, 3), "epochs": 2, "seed": 4}
+        want = by_hand(named, mixing.Mix(levels(), None, weights=own, **args), lambda d: (d[2], d[3]), words)
+        got = run(table(spark, docs), mixing.Mix(levels(), mixing.word_tokens(F.col("text")), weights=weights, **args))
+        assert got == want and len({r[0] for r in got}) == len(got)
+
+
 def test_long_leaf_is_cut_by_cells(spark):
     rows = [(i, "w " * (1 + i % 7), "en", "src0") for i in range(6000)]
     mix = mixing.Mix(levels(), mixing.word_tokens(F.col("text")), share=(2, 5), epochs=1, seed=1)
