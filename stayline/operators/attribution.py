@@ -1,4 +1,4 @@
-"""Exact additive attributions of a linear model: weight times scaled value."""
+"""Additive attributions: weight times scaled value of a linear model, path contributions of a tree model."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stayline.operators.boosting import Ensemble, row_contributions
 from stayline.operators.models import Standardizer
 
 TOP_GLOBAL = 15
@@ -80,3 +81,20 @@ def first_cases(scored: DataFrame, order: Sequence[str], threshold: float) -> Da
     row = F.struct(*order)
     found = scored.withColumn("case", kind).filter(F.col("case").isNotNull())
     return found.groupBy("case").agg(F.min_by(F.struct(*order, "score"), row).alias("_r")).select("case", "_r.*")
+
+
+def tree_attribution(design: DataFrame, model: Ensemble, keep: Sequence[str], top: int = TOP_LOCAL) -> DataFrame:
+    """The `top` largest contributions of every row along the paths of a tree model, by size then name.
+
+    What a column adds is the change of the node values at its splits; all of them
+    and the model's bias add up to the margin. Sorted inside the row.
+    """
+    names = F.array(*[F.lit(c) for c in model.columns])
+    sized = F.zip_with(
+        names, F.col("_parts"), lambda f, v: F.struct((-F.abs(v)).alias("o"), f.alias("feature"), v.alias("contribution"))
+    )
+    best = F.slice(F.array_sort(sized), 1, top)
+    return row_contributions(design, model, keep).select(*keep, F.posexplode(best)).select(
+        *keep, (F.col("pos") + 1).alias("rank"),
+        F.col("col.feature").alias("feature"), F.col("col.contribution").alias("contribution"),
+    )

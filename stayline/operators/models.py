@@ -1,4 +1,4 @@
-"""Preprocessing, fits and scoring on `pyspark.ml`.
+"""Preprocessing, fits and scoring: linear models by `pyspark.ml`, boosted trees by `boosting`.
 
 Fits read a frame whose lineage was cut (see `session.cut_lineage`) or a stored
 design, so iterations never replay feature jobs. Statistics that enter a fit
@@ -12,18 +12,18 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayline.functions.expr import hash_block, seeded_hash
+from stayline.operators import boosting as BO
 from stayline.operators.blocks import row_numbers
+from stayline.operators.boosting import BoostParams, Ensemble
 from stayline.operators.metrics import rank_metrics
-from stayline.session import cut_lineage
 from stayline.spec import CONFIG
 
 VECTOR = "vector"
@@ -81,24 +81,6 @@ class Standardizer:
         return design.withColumn(VECTOR, array_to_vector(F.array(*[self.z(c) for c in self.columns])))
 
 
-@dataclass(frozen=True)
-class SentinelFiller:
-    """Nulls become (train minimum - 1): trees need numbers, and can split it off."""
-
-    columns: tuple[str, ...]
-    fills: tuple[float, ...]
-
-    @staticmethod
-    def fit(train: DataFrame, columns: Sequence[str]) -> "SentinelFiller":
-        row = train.agg(*[F.min(c).alias(c) for c in columns]).first()
-        kept = [c for c in columns if row[c] is not None]
-        return SentinelFiller(tuple(kept), tuple(float(row[c]) - 1.0 for c in kept))
-
-    def vectors(self, design: DataFrame) -> DataFrame:
-        filled = [F.coalesce(F.col(c).cast("double"), F.lit(f)) for c, f in zip(self.columns, self.fills)]
-        return design.withColumn(VECTOR, array_to_vector(F.array(*filled)))
-
-
 def linear_score(
     design: DataFrame, scaler: Standardizer, weights: Mapping[str, float], intercept: float, keep: Sequence[str]
 ) -> DataFrame:
@@ -120,7 +102,7 @@ def linear_score(
 class Fitted:
     """A model with the preprocessing and the column order it was fitted with."""
 
-    prepare: Standardizer | SentinelFiller
+    prepare: Standardizer
     model: Model
 
     @property
@@ -145,37 +127,9 @@ def fit_logistic(train: DataFrame, columns: Sequence[str], label: str, max_iter:
     return Fitted(prepare, learner.fit(prepare.vectors(train).select(VECTOR, label)))
 
 
-# Leaf budget of the study grid to tree depth.
-DEPTH_OF_LEAVES = {15: 4, 31: 5, 63: 6}
-
-
-@dataclass(frozen=True)
-class BoostParams:
-    learning_rate: float = 0.1
-    leaves: int = 15
-    min_leaf_rows: int = 20
-    rounds: int = CONFIG.boosting_rounds
-    seed: int = CONFIG.seed
-
-    def learner(self, label: str) -> GBTClassifier:
-        return GBTClassifier(
-            featuresCol=VECTOR, labelCol=label, maxIter=self.rounds, stepSize=self.learning_rate,
-            maxDepth=DEPTH_OF_LEAVES[self.leaves], minInstancesPerNode=self.min_leaf_rows, seed=self.seed,
-        )
-
-
-def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, params: BoostParams) -> Fitted:
-    prepare = SentinelFiller.fit(train, columns)
-    return Fitted(prepare, params.learner(label).fit(prepare.vectors(train).select(VECTOR, label)))
-
-
-def grid(rounds: int = CONFIG.boosting_rounds, config=CONFIG) -> list[BoostParams]:
-    return [
-        BoostParams(rate, leaves, rows, rounds, config.seed)
-        for rate in config.learning_rates
-        for leaves in config.leaves
-        for rows in config.min_leaf_rows
-    ]
+def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, params: BoostParams) -> Ensemble:
+    """Boosted trees on the columns observed in train."""
+    return BO.fit(train, BO.Binning.fit(train, columns), [params], label)[0]
 
 
 def search(
@@ -184,34 +138,27 @@ def search(
     columns: Sequence[str],
     label: str,
     candidates: Iterable[BoostParams],
-) -> tuple[BoostParams, list[dict]]:
-    """Fit every candidate on train, rank on the fixed validation split.
+) -> tuple[BoostParams, list[dict], dict[BoostParams, Ensemble]]:
+    """Fit all candidates on train in the same passes over one binned design, rank on the fixed validation split.
 
-    Vectors are made and stored once; all candidates are ranked in one grouped
-    job. The best average precision wins, the first one on a tie.
+    All are ranked in one grouped job. The best average precision wins, the
+    first one on a tie.
     """
     tried = list(candidates)
-    prepare = SentinelFiller.fit(train, columns)
-    ready = cut_lineage(prepare.vectors(train).select(VECTOR, label))
-    held = cut_lineage(prepare.vectors(validation).select(VECTOR, label))
-    scored = None
-    for i, params in enumerate(tried):
-        model = params.learner(label).fit(ready)
-        one = model.transform(held).select(F.lit(i).alias("candidate"), label, vector_to_array("probability")[1].alias("score"))
-        scored = one if scored is None else scored.unionByName(one)
-    got = {} if scored is None else {r["candidate"]: r for r in rank_metrics(scored, ["candidate"], label).collect()}
+    fitted = BO.fit(train, BO.Binning.fit(train, columns), tried, label)
+    scored = BO.score(validation, {str(i): m for i, m in enumerate(fitted)}, [label])
+    got = {r["model"]: r for r in rank_metrics(scored, ["model"], label).collect()}
     rows = [
         {
             "learning_rate": p.learning_rate, "leaves": p.leaves, "min_leaf_rows": p.min_leaf_rows,
-            "auroc": got[i]["auroc"], "auprc": got[i]["auprc"],
+            "auroc": got[str(i)]["auroc"], "auprc": got[str(i)]["auprc"],
         }
         for i, p in enumerate(tried)
     ]
     ranked = [(-r["auprc"], i) for i, r in enumerate(rows) if r["auprc"] is not None]
-    best = tried[min(ranked)[1]] if ranked else None
-    if best is None:
+    if not ranked:
         raise ValueError("no candidate could be ranked: validation has one class")
-    return best, rows
+    return tried[min(ranked)[1]], rows, dict(zip(tried, fitted))
 
 
 def training_sets(design: DataFrame) -> dict[str, DataFrame]:
@@ -223,70 +170,6 @@ def training_sets(design: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-# -- adaptation ----------------------------------------------------------------------
-
-
-def fit_isotonic(scored: DataFrame, label: str = "label"):
-    """Isotonic calibrator; equal scores are averaged and outer scores clipped.
-
-    Rows collapse to weighted distinct scores before the fit.
-    """
-    weighted = scored.groupBy("score").agg(
-        F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")
-    )
-    learner = IsotonicRegression(
-        featuresCol="score", labelCol="y", weightCol="w", predictionCol="calibrated"
-    )
-    return learner.fit(weighted)
-
-
-def recalibrate(calibrator, scored: DataFrame) -> DataFrame:
-    kept = [c for c in scored.columns if c != "score"]
-    return calibrator.transform(scored).select(*kept, F.col("calibrated").alias("score"))
-
-
-@dataclass
-class Stage2:
-    """A second boosting stage over a base score.
-
-    A different estimator from continued boosting: regression trees are fitted
-    to the base model's residual, and shift its log-odds.
-    """
-
-    prepare: SentinelFiller | None
-    model: Model | None
-    shrinkage: float
-
-    def score(self, base_scored: DataFrame, keep: Sequence[str]) -> DataFrame:
-        if self.model is None:
-            return base_scored.select(*keep, "score")
-        p = F.least(F.greatest(F.col("score"), F.lit(1e-9)), F.lit(1 - 1e-9))
-        moved = self.model.transform(self.prepare.vectors(base_scored))
-        margin = F.log(p / (F.lit(1.0) - p)) + F.lit(self.shrinkage) * F.col("prediction")
-        return moved.select(*keep, (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias("score"))
-
-
-def stage2_boost(
-    base_scored: DataFrame | None,
-    columns: Sequence[str],
-    label: str = "label",
-    rounds: int = CONFIG.fine_tune_rounds,
-    shrinkage: float = 1.0,
-    max_depth: int = 4,
-    seed: int = CONFIG.seed,
-) -> Stage2:
-    """Fit on rows carrying features, label and base `score`; None gives the base back."""
-    if base_scored is None:
-        return Stage2(None, None, shrinkage)
-    prepare = SentinelFiller.fit(base_scored, columns)
-    ready = prepare.vectors(base_scored).withColumn("_r", F.col(label) - F.col("score"))
-    learner = GBTRegressor(
-        featuresCol=VECTOR, labelCol="_r", maxIter=rounds, maxDepth=max_depth, seed=seed,
-        predictionCol="prediction",
-    )
-    return Stage2(prepare, learner.fit(ready.select(VECTOR, "_r")), shrinkage)
-
-
 # -- artefacts -----------------------------------------------------------------------
 
 
@@ -303,9 +186,9 @@ def save(fitted: Fitted, path: str) -> None:
 def load(path: str) -> Fitted:
     spark = _active()
     doc = json.loads(spark.read.text(f"{path}/columns").first()["value"])
-    kind = {"Standardizer": Standardizer, "SentinelFiller": SentinelFiller}[doc.pop("kind")]
+    doc.pop("kind")
     model = DefaultParamsReader.loadParamsInstance(f"{path}/model", spark)
-    return Fitted(kind(**{k: tuple(v) for k, v in doc.items()}), model)
+    return Fitted(Standardizer(**{k: tuple(v) for k, v in doc.items()}), model)
 
 
 def _active() -> SparkSession:
@@ -315,29 +198,24 @@ def _active() -> SparkSession:
 # -- importance -----------------------------------------------------------------------
 
 
-def permuted(design: DataFrame, column: str, keys: Sequence[str], seed: int = CONFIG.seed) -> DataFrame:
-    """`column` moved to other rows: each row takes the value of the next one in md5 order.
+def paired(design: DataFrame, columns: Sequence[str], keys: Sequence[str], seed: int = CONFIG.seed) -> DataFrame:
+    """Each row with `_other`, the `columns` of the next row in a seeded order (the last row gets those of the first).
 
-    The order is built over even hash cells, and the values travel by a join on
-    the rank, so no task holds the whole order.
+    The order is built over even hash cells, and the whole struct travels by one
+    join on the rank, so neither a task nor a join more is needed for more columns.
     """
-    h = seeded_hash(seed, F.lit(column), *[F.col(k) for k in keys])
+    h = seeded_hash(seed, *[F.col(k) for k in keys])
     ranked = row_numbers(design.withColumn("_h", h), [], ["_h", *keys], hash_block(F.col("_h")), "_r")
     n = design.count()
-    source = ranked.select((F.pmod(F.col("_r"), F.lit(n)) + 1).alias("_r"), F.col(column).alias("_v"))
-    others = [F.col("_v").alias(c) if c == column else F.col(c) for c in design.columns]
-    return ranked.join(source, "_r").select(*others)
+    other = ranked.select((F.pmod(F.col("_r"), F.lit(n)) + 1).alias("_r"), F.struct(*columns).alias("_other"))
+    return ranked.join(other, "_r").drop("_r", "_h")
 
 
 def permutation_importance(
-    fitted: Fitted, design: DataFrame, columns: Sequence[str], keys: Sequence[str], label: str
+    model: Ensemble, design: DataFrame, keys: Sequence[str], label: str, seed: int = CONFIG.seed
 ) -> DataFrame:
-    """Drop in average precision when a column is permuted; one grouped metric job."""
-    base = fitted.score(design, [label]).withColumn("feature", F.lit("(none)"))
-    frames = base
-    for c in columns:
-        one = fitted.score(permuted(design, c, keys), [label]).withColumn("feature", F.lit(c))
-        frames = frames.unionByName(one)
+    """(feature, importance): drop in average precision when a column comes from another row; one grouped metric job."""
+    frames = BO.permuted_scores(paired(design, model.columns, keys, seed), model, [label], "_other")
     got = rank_metrics(frames, ["feature"], label).select("feature", "auprc")
     # One row per column reaches this window.
     whole = F.max(F.when(F.col("feature") == "(none)", F.col("auprc"))).over(W.partitionBy())
@@ -347,9 +225,5 @@ def permutation_importance(
     )
 
 
-def tree_importance(fitted: Fitted) -> list[tuple[str, float]]:
-    return [(c, float(v)) for c, v in zip(fitted.columns, fitted.model.featureImportances.toArray())]
-
-
 def linear_weights(fitted: Fitted) -> Mapping[str, float]:
     return dict(zip(fitted.columns, [float(w) for w in fitted.model.coefficients]))

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.cohort import assert_adaptation_disjoint, draw_entities, draw_seed
+from stayline.functions.expr import hash_block, seeded_hash
+from stayline.operators import boosting as BO
+from stayline.operators.blocks import row_numbers
+from stayline.operators.cohort import assert_adaptation_disjoint, draw_seed
+from stayline.operators.isotonic import calibrate, fit_pools
 from stayline.operators.metrics import evaluate
-from stayline.operators.models import fit_isotonic, recalibrate, stage2_boost
 from stayline.session import cut_lineage
 from stayline.spec import CONFIG, PanelSpec
 
+#: Scores are kept this far from 0 and 1 before their log odds are taken.
+EDGE = 1e-9
+
 
 def calibration_arms(arms: dict[str, DataFrame], entity: Sequence[str]) -> DataFrame:
     """Stack scored frames under an `arm` column, ready for grouped metrics."""
@@ -26,6 +32,52 @@ def calibration_arms(arms: dict[str, DataFrame], entity: Sequence[str]) -> DataF
     return out
 
 
+def margin(score: Column) -> Column:
+    """Log odds of a score, from which boosting can go on."""
+    p = F.least(F.greatest(score, F.lit(EDGE)), F.lit(1 - EDGE))
+    return F.log(p / (F.lit(1.0) - p))
+
+
+def curve_draws(adapt: DataFrame, spec: PanelSpec, sizes: Sequence[int], draws: int, seed: int = CONFIG.seed) -> DataFrame:
+    """(n, draw, entity): whole entities without replacement for every size and draw, ranked in one plan.
+
+    The same entities as `cohort.draw_entities` takes with the seed of the draw; a
+    size beyond all entities gets as many as there are.
+    """
+    grid = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("draw"), F.lit(draw_seed(n, d, seed)).alias("_seed")) for n in sizes for d in range(draws)])
+    ids = adapt.select(*spec.key).distinct().select(*spec.key, F.inline(grid))
+    ids = ids.withColumn("_h", seeded_hash(F.col("_seed"), F.col(spec.entity)))
+    ranked = row_numbers(ids, ["n", "draw"], ["_h", *spec.key], hash_block(F.col("_h")), "_rank")
+    return ranked.where(F.col("_rank") <= F.col("n")).select("n", "draw", *spec.key)
+
+
+def recalibrated(adapt: DataFrame, evaluation: DataFrame, drawn: DataFrame, spec: PanelSpec, cells: Sequence[tuple[int, int]]) -> DataFrame:
+    """(n, draw, key, hour, label, score) of `evaluation`, calibrated on the rows of each draw; all draws in the same jobs."""
+    by = ["n", "draw"]
+    pools = fit_pools(adapt.select(*spec.key, "score", "label").join(drawn, spec.key), keys=by)
+    every = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("draw")) for n, d in cells])
+    asked = evaluation.select(*spec.key, "hour", "label", "score", F.inline(every))
+    return calibrate(pools, asked, by).select(*by, *spec.key, "hour", "label", "score")
+
+
+def fine_tuned(
+    adapt: DataFrame, evaluation: DataFrame, drawn: DataFrame, spec: PanelSpec, cells: Sequence[tuple[int, int]],
+    columns: Sequence[str], params: BO.BoostParams,
+) -> DataFrame:
+    """The same by boosting on from the base margin, a model for each draw, all of them in the same passes."""
+    of_cell = F.create_map(*[x for i, (n, d) in enumerate(cells) for x in (F.struct(F.lit(n).alias("n"), F.lit(d).alias("draw")), F.lit(i))])
+    number = F.element_at(of_cell, F.struct("n", "draw"))
+    members = drawn.groupBy(*spec.key).agg(F.collect_list(number).alias("_models"))
+    rows = adapt.withColumn("_margin", margin(F.col("score")))
+    models = BO.fit(
+        rows.join(members, spec.key), BO.Binning.fit(adapt, columns), [params] * len(cells), base="_margin", members="_models"
+    )
+    named = {f"{n}:{d}": m for (n, d), m in zip(cells, models)}
+    scored = BO.score(evaluation.withColumn("_margin", margin(F.col("score"))), named, [*spec.key, "hour", "label"], base="_margin")
+    part = F.split("model", ":")
+    return scored.select(part[0].cast("int").alias("n"), part[1].cast("int").alias("draw"), *spec.key, "hour", "label", "score")
+
+
 def transfer_curve(
     adapt: DataFrame,
     evaluation: DataFrame,
@@ -34,44 +86,45 @@ def transfer_curve(
     threshold: float,
     n_values: Sequence[int] = CONFIG.transfer_n,
     draws: int = CONFIG.transfer_draws,
-    rounds: int = CONFIG.fine_tune_rounds,
+    params: BO.BoostParams = BO.BoostParams(rounds=CONFIG.fine_tune_rounds),
     seed: int = CONFIG.seed,
+    modes: Sequence[str] = ("recalib", "finetune"),
 ) -> DataFrame:
-    """Average precision and utility by (n, draw, mode) at the frozen threshold.
+    """Average precision and utility by (n, draw, mode) at the frozen threshold, and how many entities were drawn.
 
     `adapt` and `evaluation` carry features, label, hour and the base `score`;
-    both should be stored frames. Draws are independent of each other, and each
-    is fitted on stored rows. Only the fits loop on the driver: all scored frames
-    are evaluated in one job, the unadapted one (n = 0) once for all its draws.
+    both should be stored frames, and no entity may be in both. All sizes and
+    draws are fitted together and evaluated in one job; the unadapted score (n = 0)
+    is evaluated once for all its draws. A size that `adapt` cannot fill is a row
+    with the number of entities at hand and without metrics.
     """
     entity = spec.key
-    keep = [*entity, "hour", "label"]
-    base = evaluation.select(*keep, "score")
-    frames = None
-    for n in n_values:
-        for draw in range(draws if n > 0 else 1):
-            recal = tuned = base
-            if n > 0:
-                drawn = draw_entities(adapt, spec, n, draw_seed(n, draw, seed))
-                assert_adaptation_disjoint(drawn, evaluation, spec)
-                rows = cut_lineage(adapt.join(drawn, entity, "left_semi"))
-                recal = recalibrate(fit_isotonic(rows), base)
-                tuned = stage2_boost(rows, columns, rounds=rounds, seed=seed).score(evaluation, keep)
-            modes = (("recalib", recal), ("finetune", tuned)) if n > 0 else (("base", base),)
-            for mode, scored in modes:
-                tagged = scored.select(
-                    F.lit(n).alias("n"), F.lit(draw).alias("draw"), F.lit(mode).alias("mode"),
-                    *keep, "score",
-                )
-                frames = tagged if frames is None else frames.unionByName(tagged)
+    assert_adaptation_disjoint(adapt, evaluation, spec)
+    available = adapt.select(*entity).distinct().count()
+    sizes = [n for n in n_values if 0 < n <= available]
+    cells = [(n, d) for n in sizes for d in range(draws)]
+    head = ["n", "draw", "mode", *entity, "hour", "label", "score"]
+    frames = evaluation.select(F.lit(0).alias("n"), F.lit(0).alias("draw"), F.lit("base").alias("mode"), *head[3:])
+    if cells:
+        drawn = cut_lineage(curve_draws(adapt, spec, sizes, draws, seed))
+        for mode in modes:
+            adapted = (
+                recalibrated(adapt, evaluation, drawn, spec, cells)
+                if mode == "recalib"
+                else fine_tuned(adapt, evaluation, drawn, spec, cells, columns, params)
+            )
+            frames = frames.unionByName(adapted.withColumn("mode", F.lit(mode)).select(*head))
     record = evaluate(frames, ["n", "draw", "mode"], F.lit(float(threshold)), entity)
-    same = F.array(*[F.struct(F.lit(d).alias("draw"), F.lit(m).alias("mode")) for d in range(draws) for m in ("recalib", "finetune")])
+    every = F.array(*[F.struct(F.lit(d).alias("draw"), F.lit(m).alias("mode")) for d in range(draws) for m in modes])
     own = F.array(F.struct("draw", "mode"))
-    each = record.withColumn("_e", F.explode(F.when(F.col("mode") == "base", same).otherwise(own)))
-    return each.select("n", F.col("_e.draw").alias("draw"), F.col("_e.mode").alias("mode"), "auprc", "utility")
-
-
-def fillable(adapt: DataFrame, spec: PanelSpec, n_values: Sequence[int] = CONFIG.transfer_n) -> tuple[int, ...]:
-    """The sizes that `adapt` has entities for."""
-    available = adapt.select(*spec.key).distinct().count()
-    return tuple(n for n in n_values if n <= available)
+    each = record.withColumn("_e", F.explode(F.when(F.col("mode") == "base", every).otherwise(own)))
+    found = each.select("n", "_e.draw", "_e.mode", F.col("n").cast("bigint").alias("n_drawn"), "auprc", "utility").where(
+        F.lit(0 in n_values) | (F.col("n") > 0)
+    )
+    unfilled = [n for n in n_values if n > available]
+    if not unfilled:
+        return found
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("draw"), F.lit(m).alias("mode")) for n in unfilled for d in range(draws) for m in modes])
+    none = F.lit(None).cast("double")
+    missing = adapt.sparkSession.range(0, 1, 1, 1).select(F.inline(rows))
+    return found.unionByName(missing.select("n", "draw", "mode", F.lit(available).cast("bigint").alias("n_drawn"), none.alias("auprc"), none.alias("utility")))

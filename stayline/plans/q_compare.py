@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from stayline.operators import cohort as CO
 from stayline.operators import compare as C
 from stayline.operators import metrics as M
-from stayline.operators import models as MD
-from stayline.operators.transfer import calibration_arms, fillable, transfer_curve
+from stayline.operators import isotonic as IS
+from stayline.operators.transfer import calibration_arms, transfer_curve
 from stayline.plans import bindings as B
 from stayline.plans.q_metrics import reliability_sql
 from stayline.plans.registry import register
-from stayline.plans.sql import PANEL, SCORED, SITE, num, ranks, splits, utility
+from stayline.plans.sql import PANEL, SCORED, SITE, calibrated_sql, isotonic_sql, num, ranks, splits, utility
 from stayline.session import cut_lineage
+from stayline.spec import CONFIG
 
 _CELLS = " UNION ALL ".join(
     f"SELECT '{cell}' AS cell, {num(B.FROZEN[m])} AS threshold, site, user_id, hour, label, {B.SCORES[m]} AS score FROM sp WHERE split = '{split}'"
@@ -110,7 +111,32 @@ def g5_brier(spark, sf):
     return M.evaluate(_two_cells(spark, sf), ["cell"], F.lit(B.FROZEN["A"]), B.ENTITY).select("cell", "brier")
 
 
-@register("g5_recalibrated_arms")
+def _drawn_sql(n: int, draw: int) -> str:
+    """The entities of site B's training part that one draw of the study takes."""
+    return f"""SELECT site, user_id FROM splits WHERE split = 'b_train'
+  ORDER BY md5('{CO.draw_seed(n, draw)}:' || user_id), site, user_id LIMIT {n}"""
+
+
+#: Users of site B whose rows calibrate in the last two arms.
+SLICE = 20
+_ARMS = (("A->A fit on A validation (in-sample)", "on_a", "a_val"), ("A->B fit on A validation", "on_a", "b_eval"),
+         ("A->A fit on B slice", "on_b", "a_val"), ("A->B fit on B slice", "on_b", "b_eval"))
+SP = SCORED + splits() + ", sp AS (SELECT scored.*, split FROM scored JOIN splits USING (site, user_id))"
+
+
+@register(
+    "g5_recalibrated_arms",
+    SP + f", slice AS ({_drawn_sql(SLICE, 0)})"
+    + isotonic_sql("on_a", "SELECT score AS x, label AS y FROM sp WHERE split = 'a_val'")
+    + isotonic_sql("on_b", "SELECT score AS x, label AS y FROM sp JOIN slice USING (site, user_id) WHERE split = 'b_train'")
+    + "".join(
+        calibrated_sql(f"arm{i}", f"SELECT '{name}' AS arm, label, score FROM sp WHERE split = '{split}'", fit)
+        for i, (name, fit, split) in enumerate(_ARMS)
+    )
+    + ", arms AS (" + " UNION ALL ".join(f"SELECT * FROM arm{i}" for i in range(4)) + ")" + ranks("arms", "arm")
+    + """ SELECT arm, n_hours, round(brier, 6) AS brier, round(auroc, 6) AS auroc, round(auprc, 6) AS auprc
+FROM (SELECT arm, count(*) AS n_hours, avg((score - label) * (score - label)) AS brier FROM arms GROUP BY arm) JOIN ranked USING (arm)""",
+)
 def g5_arms(spark, sf):
     """Four fit/apply arms. The slice of the other site is drawn by entity.
 
@@ -118,18 +144,9 @@ def g5_arms(spark, sf):
     """
     rows = cut_lineage(B.scored_splits(spark, sf).select(*B.ENTITY, "hour", "label", "score", "split"))
     part = {s: rows.filter(F.col("split") == s).drop("split") for s in ("a_val", "b_train", "b_eval")}
-    drawn = CO.draw_entities(part["b_train"], B.EVENTS, 20, CO.draw_seed(20, 0), strict=False)
-    on_a = MD.fit_isotonic(part["a_val"])
-    on_b = MD.fit_isotonic(part["b_train"].join(drawn, list(B.ENTITY), "left_semi"))
-    arms = calibration_arms(
-        {
-            "A->A fit on A validation (in-sample)": MD.recalibrate(on_a, part["a_val"]),
-            "A->B fit on A validation": MD.recalibrate(on_a, part["b_eval"]),
-            "A->A fit on B slice": MD.recalibrate(on_b, part["a_val"]),
-            "A->B fit on B slice": MD.recalibrate(on_b, part["b_eval"]),
-        },
-        B.ENTITY,
-    )
+    drawn = CO.draw_entities(part["b_train"], B.EVENTS, SLICE, CO.draw_seed(SLICE, 0), strict=False)
+    fits = {"on_a": IS.fit_pools(part["a_val"]), "on_b": IS.fit_pools(part["b_train"].join(drawn, list(B.ENTITY), "left_semi"))}
+    arms = calibration_arms({name: IS.calibrate(fits[fit], part[split]) for name, fit, split in _ARMS}, B.ENTITY)
     record = M.evaluate(arms, ["arm"], F.lit(B.FROZEN["A"]), B.ENTITY)
     return record.select("arm", "n_hours", "brier", "auroc", "auprc")
 
@@ -157,9 +174,8 @@ def g6(spark, sf):
     return M.subgroup_metrics(B.scored(spark, sf), labels, B.ENTITY, min_positives=2000)
 
 
-@register("g7_transfer_curve")
-def g7(spark, sf):
-    """Base score adapted with n users of site B, for the sizes of the study that site B fills; scored on the rest of site B."""
+def _curve(spark, sf, modes):
+    """Base score adapted with n users of site B, for the sizes and draws of the study; scored on the rest of site B."""
     rows = cut_lineage(
         B.event_panel(spark, sf, scores=True).join(CO.split_sites(B.events(spark, sf), B.EVENTS), B.EVENTS.key)
         .filter(F.col("split").isin("b_train", "b_eval"))
@@ -167,9 +183,39 @@ def g7(spark, sf):
     )
     adapt = rows.filter(F.col("split") == "b_train").drop("split")
     evaluation = rows.filter(F.col("split") == "b_eval").drop("split")
-    return transfer_curve(
-        adapt, evaluation, B.EVENTS, ["n_events", "n72", "ecum"], B.FROZEN["A"], n_values=fillable(adapt, B.EVENTS)
-    )
+    return transfer_curve(adapt, evaluation, B.EVENTS, ["n_events", "n72", "ecum"], B.FROZEN["A"], modes=modes)
+
+
+@register("g7_transfer_curve")
+def g7(spark, sf):
+    """Recalibration and 200 more rounds of boosting."""
+    return _curve(spark, sf, ("recalib", "finetune"))
+
+
+_SIZES = ", ".join(f"({n})" for n in CONFIG.transfer_n)
+
+
+@register(
+    "g7_recalibrated_curve",
+    SP + f""", pool AS (SELECT site, user_id FROM splits WHERE split = 'b_train'),
+size(n) AS (VALUES {_SIZES}), cells AS (SELECT n, draw FROM size, range({CONFIG.transfer_draws}) r(draw)),
+drawn AS (SELECT n, draw, site, user_id FROM (SELECT *, row_number() OVER (PARTITION BY n, draw
+    ORDER BY md5(({CONFIG.seed} + 17 * n + 101 * draw) || ':' || user_id), site, user_id) AS r FROM cells, pool)
+  WHERE r <= n AND n <= (SELECT count(*) FROM pool))"""
+    + isotonic_sql("fit", "SELECT n, draw, score AS x, label AS y FROM sp JOIN drawn USING (site, user_id)", "n, draw")
+    + calibrated_sql("moved", """SELECT n, draw, site, user_id, hour, label, score FROM sp, cells
+      WHERE split = 'b_eval' AND n > 0 AND n <= (SELECT count(*) FROM pool)""", "fit", "n, draw")
+    + """, rows AS (SELECT n, draw, site, user_id, hour, label, score FROM moved
+  UNION ALL SELECT 0, draw, site, user_id, hour, label, score FROM sp, cells WHERE split = 'b_eval' AND n = 0)"""
+    + ranks("rows", "n, draw") + utility("rows", num(B.FROZEN["A"]), "n, draw, site, user_id") + """,
+m AS (SELECT n, draw, (sum(u) - sum(u0)) / nullif(sum(ubest) - sum(u0), 0) AS utility FROM util GROUP BY n, draw)
+SELECT CAST(n AS INTEGER) AS n, CAST(draw AS INTEGER) AS draw, 'recalib' AS mode, CAST(least(n, (SELECT count(*) FROM pool)) AS BIGINT) AS n_drawn,
+  round(auprc, 6) AS auprc, round(utility, 6) AS utility
+FROM cells LEFT JOIN (SELECT n, draw, auprc FROM ranked) USING (n, draw) LEFT JOIN m USING (n, draw)""",
+)
+def g7_recalibrated(spark, sf):
+    """The arm of the curve that has an exact counterpart: isotonic recalibration and the base."""
+    return _curve(spark, sf, ("recalib",))
 
 
 DRAWN = [(n, d) for n in (5, 10) for d in range(3)]

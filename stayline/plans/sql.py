@@ -106,3 +106,32 @@ ranked AS (
 def num(x: float) -> str:
     """A double literal (plain decimals would be read as fixed point)."""
     return f"{x!r}e0" if "e" not in repr(x) else repr(x)
+
+
+def isotonic_sql(name: str, fit: str, keys: str = "") -> str:
+    """`name` (keys, x, v): the isotonic fit of `fit` (keys, x, y) at its distinct x.
+
+    By the definition: the largest, over all starts up to x, of the smallest mean
+    over all ends from x on.
+    """
+    by = f"{keys}, " if keys else ""
+    part = f"PARTITION BY {keys} " if keys else ""
+    using = f"USING ({keys})" if keys else "ON true"
+    lead = ", ".join(f"a.{k.strip()}" for k in keys.split(",")) + ", " if keys else ""
+    return f""",
+{name}_n AS (SELECT {by}x, row_number() OVER ({part}ORDER BY x) AS i, sum(sum(y)) OVER ({part}ORDER BY x) AS s, sum(count(*)) OVER ({part}ORDER BY x) AS w,
+  sum(y) AS y, count(*) AS n FROM ({fit}) GROUP BY {by}x),
+{name}_m AS (SELECT {lead}a.i AS j, b.i AS k, CAST(b.s - a.s + a.y AS DOUBLE) / (b.w - a.w + a.n) AS m FROM {name}_n a JOIN {name}_n b {using} WHERE a.i <= b.i),
+{name}_l AS (SELECT {by}k AS i, min(m) OVER (PARTITION BY {by}j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS least FROM {name}_m),
+{name} AS (SELECT {by}x, max(least) AS v FROM {name}_l JOIN {name}_n USING ({by}i) GROUP BY {by}x)"""
+
+
+def calibrated_sql(name: str, rows: str, fit: str, keys: str = "") -> str:
+    """`name`: `rows` (keys, score, ...) with the score on the line between the fitted values around it, clipped outside."""
+    on = "".join(f"q.{k.strip()} = f.{k.strip()} AND " for k in keys.split(",")) if keys else ""
+    return f""",
+{name} AS (
+  SELECT q.* EXCLUDE (score, x0, v0), coalesce(
+    v0 + coalesce((q.score - x0) / CASE WHEN f.x > x0 THEN f.x - x0 END, 0e0) * (f.v - v0), v0, f.v) AS score
+  FROM (SELECT q.*, f.x AS x0, f.v AS v0 FROM ({rows}) q ASOF LEFT JOIN {fit} f ON {on}q.score >= f.x) q
+  ASOF LEFT JOIN {fit} f ON {on}q.score <= f.x)"""

@@ -35,18 +35,20 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stayline-stages"
 
 
-_WRITTEN: list[str] = []
+#: Tables of `cut_lineage` that are still there, and the JVM's settings for their file systems.
+_WRITTEN: dict[str, object] = {}
+
+
+def _delete(path: str, settings) -> None:
+    place = SparkContext._gateway.jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(settings).delete(place, True)
 
 
 def _remove_tables() -> None:
     """Remove the tables of `cut_lineage` when the driver ends; what a killed driver leaves follows the folder's retention."""
-    gateway = SparkContext._gateway
-    if gateway is None:
-        return
-    jvm = gateway.jvm
-    for name in _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    if SparkContext._gateway is not None:
+        for path, settings in _WRITTEN.items():
+            _delete(path, settings)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -56,9 +58,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor re-reads files instead of replaying the feature job, later passes
     read only the columns they need, and Spark knows the size for its joins.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _WRITTEN:
         atexit.register(_remove_tables)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.parquet(path)
+    _WRITTEN[path] = spark._jsparkSession.sessionState().newHadoopConf()
+    out = spark.read.parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop_table(stored: DataFrame) -> None:
+    """Remove a table of `cut_lineage` that nothing reads any more (a frame derived from one is left alone)."""
+    path = getattr(stored, "_stored_at", None)
+    if path in _WRITTEN:
+        _delete(path, _WRITTEN.pop(path))

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayline.operators import attribution as AT
+from stayline.operators import boosting as BO
+from stayline.operators import cohort as CO
 from stayline.operators import metrics as M
 from stayline.operators import models as MD
-from stayline.operators.transfer import transfer_curve
+from stayline.operators.transfer import curve_draws, transfer_curve
 from stayline.spec import PanelSpec
 from tests.conftest import close
 
@@ -66,22 +68,29 @@ def test_logistic_and_linear_attribution(design):
 
 def test_boosting_search_and_importance(design):
     train, val = part(design, "a_train"), part(design, "a_val")
-    tried = [MD.BoostParams(0.1, 15, 20, 2), MD.BoostParams(0.1, 15, 20, 2), MD.BoostParams(0.05, 15, 100, 1)]
-    best, rows = MD.search(train, val, ["a", "b"], "label", tried)
-    assert best is tried[0] and rows[0]["auprc"] == rows[1]["auprc"]
-    fitted = MD.fit_boosted(train, ["a", "b", "never"], "label", tried[0])
-    assert fitted.columns == ("a", "b")
-    gain = dict(MD.tree_importance(fitted))
-    drop = {r["feature"]: r["importance"] for r in MD.permutation_importance(fitted, val, ["a", "b"], KEYS, "label").collect()}
-    assert gain["a"] > gain["b"] and drop["a"] > drop["b"]
-    assert len(MD.grid()) == 18
+    tried = [BO.BoostParams(0.1, 15, 20, 4), BO.BoostParams(0.1, 15, 20, 4), BO.BoostParams(0.05, 15, 100, 2)]
+    best, rows, fitted = MD.search(train, val, ["a", "b", "never"], "label", tried)
+    assert best == tried[0] and rows[0]["auprc"] == rows[1]["auprc"] and len(fitted[tried[2]].trees) == 2
+    model = fitted[tried[0]]
+    assert model.columns == ("a", "b")
+    gain = model.split_gain()
+    drop = {r["feature"]: r["importance"] for r in MD.permutation_importance(model, val, KEYS, "label").collect()}
+    assert gain["a"] > gain["b"] and drop["a"] > drop["b"] and set(drop) == {"a", "b"}
+    assert len(BO.grid()) == 18 and {p.rounds for p in BO.grid()} == {600}
 
 
-def test_permutation_keeps_the_values(design):
-    moved = MD.permuted(design, "b", KEYS)
-    assert moved.count() == design.count()
-    assert moved.select("b").exceptAll(design.select("b")).count() == 0
-    assert moved.drop("b").exceptAll(design.drop("b")).count() == 0
+def test_rows_of_a_pair_come_from_the_design(design):
+    moved = MD.paired(design, ["a", "b"], KEYS)
+    assert moved.drop("_other").exceptAll(design).count() == 0 and moved.count() == design.count()
+    assert moved.select("_other.*").exceptAll(design.select("a", "b")).count() == 0
+
+
+def test_one_join_for_any_number_of_columns(design):
+    def joins(columns):
+        plan = MD.paired(design, columns, KEYS)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Join ")
+
+    assert joins(["a"]) == joins(["a", "b", "never", "score"])
 
 
 def test_save_and_load(design, tmp_path):
@@ -93,36 +102,35 @@ def test_save_and_load(design, tmp_path):
     assert back.score(val, KEYS).exceptAll(fitted.score(val, KEYS)).count() == 0
 
 
-def test_isotonic_ties_and_clipping(spark):
-    fit = spark.createDataFrame([(0.2, 0), (0.2, 1), (0.4, 0), (0.6, 1)], "score double, label int")
-    calibrator = MD.fit_isotonic(fit)
-    asked = spark.createDataFrame([(0.0,), (0.2,), (0.5,), (0.9,)], "score double").withColumn("x", F.col("score"))
-    got = {r["x"]: r["score"] for r in MD.recalibrate(calibrator, asked).collect()}
-    assert close(got[0.0], 1 / 3) and close(got[0.2], 1 / 3) and close(got[0.9], 1.0)
-    assert 1 / 3 < got[0.5] < 1.0
-
-
 def test_training_sets(design):
     renamed = design.withColumn("split", F.when(F.col("site") == "A", "a_train").otherwise("b_train"))
     n = {k: v.count() for k, v in MD.training_sets(renamed).items()}
     assert n["A"] + n["B"] == n["A+B"] == design.count()
 
 
-def test_no_adaptation_gives_the_base_back(design):
-    kept = [*KEYS, "label"]
-    got = MD.stage2_boost(None, ["a"]).score(design, kept)
-    assert got.exceptAll(design.select(*kept, "score")).count() == 0
-
-
 def test_transfer_curve(design):
     adapt = design.filter("entity < 'e40'").drop("split")
     evaluation = design.filter("entity >= 'e40'").drop("split")
-    got = transfer_curve(adapt, evaluation, SPEC, ["a", "b"], 0.5, n_values=(0, 6), draws=2, rounds=2)
+    params = BO.BoostParams(rounds=2)
+    got = transfer_curve(adapt, evaluation, SPEC, ["a", "b"], 0.5, n_values=(0, 6, 70), draws=2, params=params)
     rows = {(r["n"], r["draw"], r["mode"]): (r["auprc"], r["utility"]) for r in got.collect()}
-    assert len(rows) == 8
+    assert len(rows) == 12
     assert len({rows[(0, d, m)] for d in (0, 1) for m in ("recalib", "finetune")}) == 1
+    base = M.evaluate(evaluation.withColumn("g", F.lit(1)), ["g"], F.lit(0.5), SPEC.key).first()
+    assert rows[(0, 0, "recalib")] == (base["auprc"], base["utility"])
+    assert rows[(6, 0, "finetune")] != rows[(6, 1, "finetune")] != rows[(0, 0, "finetune")]
+    assert {v for k, v in rows.items() if k[0] == 70} == {(None, None)}
+    assert {r["n_drawn"] for r in got.filter("n = 70").collect()} == {40} and {r["n_drawn"] for r in got.filter("n = 6").collect()} == {6}
     with pytest.raises(AssertionError):
-        transfer_curve(design.drop("split"), evaluation, SPEC, ["a"], 0.5, n_values=(40,), draws=1, rounds=1)
+        transfer_curve(design.drop("split"), evaluation, SPEC, ["a"], 0.5, n_values=(40,), draws=1, params=params)
+
+
+def test_draws_of_a_curve_are_the_single_draws(design):
+    got = curve_draws(design, SPEC, (3, 10), 2)
+    for n, d in ((3, 0), (3, 1), (10, 0), (10, 1)):
+        one = CO.draw_entities(design, SPEC, n, CO.draw_seed(n, d))
+        mine = got.where((F.col("n") == n) & (F.col("draw") == d)).select(*SPEC.key)
+        assert mine.count() == n and mine.exceptAll(one).count() == 0
 
 
 def test_first_cases(design):
@@ -133,15 +141,15 @@ def test_first_cases(design):
 
 
 def test_registered_curve_is_the_whole_study(monkeypatch, spark):
-    """Draws and rounds are the study's, and every size that the adaptation side fills is there."""
+    """Sizes, draws and rounds are the study's."""
     from stayline.plans import q_compare
     from stayline.spec import CONFIG
     from tests.conftest import TESTDATA
 
     called = {}
-    monkeypatch.setattr(q_compare, "transfer_curve", lambda adapt, *rest, **named: called.update(named, adapt=adapt))
-    q_compare.g7(spark, TESTDATA.replace("sf0.001", "sf0.01"))
-    n = called["adapt"].select("site", "user_id").distinct().count()
-    assert called["n_values"] == tuple(v for v in CONFIG.transfer_n if v <= n) and 50 in called["n_values"]
+    monkeypatch.setattr(q_compare, "transfer_curve", lambda *rest, **named: called.update(named))
+    q_compare.g7(spark, TESTDATA)
+    assert called["modes"] == ("recalib", "finetune")
+    assert called.get("n_values", CONFIG.transfer_n) == CONFIG.transfer_n
     assert called.get("draws", CONFIG.transfer_draws) == CONFIG.transfer_draws
-    assert called.get("rounds", CONFIG.fine_tune_rounds) == CONFIG.fine_tune_rounds
+    assert "params" not in called and transfer_curve.__defaults__[2].rounds == CONFIG.fine_tune_rounds
