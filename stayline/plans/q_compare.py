@@ -198,20 +198,20 @@ _SIZES = ", ".join(f"({n})" for n in CONFIG.transfer_n)
 @register(
     "g7_recalibrated_curve",
     SP + f""", pool AS (SELECT site, user_id FROM splits WHERE split = 'b_train'),
-size(n) AS (VALUES {_SIZES}), cells AS (SELECT n, draw FROM size, range({CONFIG.transfer_draws}) r(draw)),
+sizes(n) AS (VALUES {_SIZES}), cells AS (SELECT n, draw FROM sizes, range({CONFIG.transfer_draws}) r(draw)),
 drawn AS (SELECT n, draw, site, user_id FROM (SELECT *, row_number() OVER (PARTITION BY n, draw
     ORDER BY md5(({CONFIG.seed} + 17 * n + 101 * draw) || ':' || user_id), site, user_id) AS r FROM cells, pool)
   WHERE r <= n AND n <= (SELECT count(*) FROM pool))"""
     + isotonic_sql("fit", "SELECT n, draw, score AS x, label AS y FROM sp JOIN drawn USING (site, user_id)", "n, draw")
     + calibrated_sql("moved", """SELECT n, draw, site, user_id, hour, label, score FROM sp, cells
       WHERE split = 'b_eval' AND n > 0 AND n <= (SELECT count(*) FROM pool)""", "fit", "n, draw")
-    + """, rows AS (SELECT n, draw, site, user_id, hour, label, score FROM moved
+    + """, scored_draws AS (SELECT n AS size, draw, site, user_id, hour, label, score FROM moved
   UNION ALL SELECT 0, draw, site, user_id, hour, label, score FROM sp, cells WHERE split = 'b_eval' AND n = 0)"""
-    + ranks("rows", "n, draw") + utility("rows", num(B.FROZEN["A"]), "n, draw, site, user_id") + """,
-m AS (SELECT n, draw, (sum(u) - sum(u0)) / nullif(sum(ubest) - sum(u0), 0) AS utility FROM util GROUP BY n, draw)
-SELECT CAST(n AS INTEGER) AS n, CAST(draw AS INTEGER) AS draw, 'recalib' AS mode, CAST(least(n, (SELECT count(*) FROM pool)) AS BIGINT) AS n_drawn,
-  round(auprc, 6) AS auprc, round(utility, 6) AS utility
-FROM cells LEFT JOIN (SELECT n, draw, auprc FROM ranked) USING (n, draw) LEFT JOIN m USING (n, draw)""",
+    + ranks("scored_draws", "size, draw") + utility("scored_draws", num(B.FROZEN["A"]), "size, draw, site, user_id") + """,
+m AS (SELECT size, draw, (sum(u) - sum(u0)) / nullif(sum(ubest) - sum(u0), 0) AS utility FROM util GROUP BY size, draw)
+SELECT CAST(n AS INTEGER) AS n, CAST(cells.draw AS INTEGER) AS draw, 'recalib' AS mode,
+  CAST(least(n, (SELECT count(*) FROM pool)) AS BIGINT) AS n_drawn, round(auprc, 6) AS auprc, round(utility, 6) AS utility
+FROM cells LEFT JOIN ranked ON ranked.size = n AND ranked.draw = cells.draw LEFT JOIN m ON m.size = n AND m.draw = cells.draw""",
 )
 def g7_recalibrated(spark, sf):
     """The arm of the curve that has an exact counterpart: isotonic recalibration and the base."""

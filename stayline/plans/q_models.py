@@ -100,8 +100,8 @@ def e3_edges(spark, sf):
 
 
 _COUNTED = " UNION ALL ".join(
-    f"""SELECT '{c}' AS feature, CAST(CASE WHEN {c} IS NULL THEN 0 ELSE 1 + (SELECT count(*) FROM edges WHERE feature = '{c}' AND edge < {c}) END AS INTEGER) AS bin,
-  label FROM train"""
+    f"""SELECT '{c}' AS feature, CAST(CASE WHEN {c} IS NULL THEN 0
+    ELSE 1 + len(list_filter(coalesce((SELECT list(edge) FROM edges WHERE feature = '{c}'), []), lambda e: e < {c})) END AS INTEGER) AS bin, label FROM train"""
     for c in COLUMNS
 )
 

@@ -120,8 +120,8 @@ def isotonic_sql(name: str, fit: str, keys: str = "") -> str:
     lead = ", ".join(f"a.{k.strip()}" for k in keys.split(",")) + ", " if keys else ""
     return f""",
 {name}_n AS (SELECT {by}x, row_number() OVER ({part}ORDER BY x) AS i, sum(sum(y)) OVER ({part}ORDER BY x) AS s, sum(count(*)) OVER ({part}ORDER BY x) AS w,
-  sum(y) AS y, count(*) AS n FROM ({fit}) GROUP BY {by}x),
-{name}_m AS (SELECT {lead}a.i AS j, b.i AS k, CAST(b.s - a.s + a.y AS DOUBLE) / (b.w - a.w + a.n) AS m FROM {name}_n a JOIN {name}_n b {using} WHERE a.i <= b.i),
+  sum(y) AS own_s, count(*) AS own_w FROM ({fit}) GROUP BY {by}x),
+{name}_m AS (SELECT {lead}a.i AS j, b.i AS k, CAST(b.s - a.s + a.own_s AS DOUBLE) / (b.w - a.w + a.own_w) AS m FROM {name}_n a JOIN {name}_n b {using} WHERE a.i <= b.i),
 {name}_l AS (SELECT {by}k AS i, min(m) OVER (PARTITION BY {by}j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS least FROM {name}_m),
 {name} AS (SELECT {by}x, max(least) AS v FROM {name}_l JOIN {name}_n USING ({by}i) GROUP BY {by}x)"""
 
