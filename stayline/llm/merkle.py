@@ -154,7 +154,7 @@ def edited(text: str, other: str) -> str:
 
 FINGERPRINTED = (
     "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, n_edits bigint, edits array<struct<first:bigint,behind:bigint>>"
 )
 
 
@@ -165,6 +165,10 @@ def compare_neighbours(docs: DataFrame, blocks_per_partition: int = 8) -> DataFr
     last; rows with the same doc_id follow each other by text. Other columns are
     not used. An empty table gives no rows.
 
+    `edits` are the code-point ranges of the text whose branches the edited text
+    lacks, in order and apart from each other; they reach to the borders of leaves,
+    so a range covers its edit and the rest of the leaves that it touches.
+
     doc_ids are cut into ranges; each range also gets the head of the next one,
     so texts are shuffled once and each task streams over neighbours.
     """
@@ -214,8 +218,9 @@ def compare_neighbours(docs: DataFrame, blocks_per_partition: int = 8) -> DataFr
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pair each row with the next one of its range; the first guest ends a range."""
-    names = [f.split()[0] for f in FINGERPRINTED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    names = [f.split()[0] for f in FINGERPRINTED.split(", ")]  # the fields of the struct have no blank behind their comma
+    places = pa.list_(pa.struct([("first", pa.int64()), ("behind", pa.int64())]))
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), places]
     held = None  # range, doc_id, text and fingerprint of the row whose next one is awaited
     for batch in batches:
         for part in slices(batch, [len(t) for t in batch.column(3).to_pylist()], 1 << 20):
@@ -235,4 +240,5 @@ def _pair(doc: int | None, text: str, mark: str, after: str, after_mark: str) ->
     changed = edited(text, after)
     changed_mark = fingerprint(changed)
     sha = hashlib.sha256(changed.encode("utf-8")).hexdigest()
-    return doc, len(text), sha, mark, changed_mark, likeness(mark, changed_mark), likeness(mark, after_mark)
+    places = [{"first": a, "behind": b} for a, b in edits(mark, changed_mark)]
+    return doc, len(text), sha, mark, changed_mark, likeness(mark, changed_mark), likeness(mark, after_mark), len(places), places

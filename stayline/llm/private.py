@@ -1,17 +1,19 @@
 """Personal data: pattern spans, and terms that give protected entities away by co-occurrence.
 
-Each value found by a pattern is a protected entity. A term's disclosure of an
-entity is their pointwise mutual information over all documents, relative to
-the information of the entity itself: 1 means that the term occurs only with
-the entity, 0 that it says nothing about it. In a document that holds the
-entity, terms above one threshold are generalised to their shape and above a
-higher one removed, besides the patterns' own spans.
+Protected are the values found by the patterns and the classes above them (mail
+domain, ip network, phone prefix, card issuer, kind), which recur where single
+values do not. What a term discloses of an entity is the lower confidence bound of
+the probability that a text with the term holds the entity, provided that this
+exceeds the entity's own share of all texts, that is, that the lower bound of
+their pointwise mutual information is above zero. One or two chance meetings
+prove little, however large the corpus, and texts that hold neither the term nor
+the entity change nothing. In a document that holds the entity, terms above one
+threshold are generalised to their shape and above a higher one removed, besides
+the patterns' own spans.
 
 Terms are runs of letters and digits, A-Z folded, and are counted by a 64-bit
 hash. All counts are over the distinct texts of all documents, so copies of a
-text prove nothing. Every entity is judged, one of a single text too: the
-estimate is smoothed by texts that might hold the term without the entity, so
-little evidence lowers it and more evidence raises it.
+text prove nothing.
 """
 
 from __future__ import annotations
@@ -83,17 +85,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Least texts of an entity and of an entity with a term, the two thresholds, and texts added to those of a term."""
+    """Least texts of an entity and of an entity with a term, the two thresholds, and the quantile of the lower bound."""
 
     support: int = 3
-    generalise: float = 0.75
-    remove: float = 0.9
+    generalise: float = 0.5
+    remove: float = 0.75
+    z: float = 1.645  # one-sided 95 %
     cells: int = 1 << 22
-    prior: float = 0.0
-
-
-#: What is dealt: every entity and every term, as if one more text held the term without the entity.
-EVERY = Disclosure(support=1, prior=1.0)
 
 
 def entity_of(kind: str, value: str) -> str:
@@ -101,6 +99,19 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
+def protected(kind: str, value: str) -> list[str]:
+    """The value and the classes above it."""
+    name = entity_of(kind, value)
+    own = name.split(":", 1)[1]
+    above = {
+        "email": lambda: "domain:" + own.rsplit("@", 1)[1],
+        "ip": lambda: "network:" + ".".join(own.split(".")[:3]),
+        "card": lambda: "issuer:" + own[:6],
+        "phone": lambda: "prefix:" + own[:4],
+    }[kind]()
+    return [name, above, f"kind:{kind}"]
+
+
 SCANNED = "uid bigint, doc_id bigint, digest string, base string, entities array<string>, text string"
 
 
@@ -114,7 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for part in by_text(batch):
                 texts = texts_of(part)
                 spans = [base_spans(t) for t in texts]
-                names = [sorted({entity_of(k, t[a:b]) for a, b, k in s}) for t, s in zip(texts, spans)]
+                names = [sorted({e for a, b, k in s for e in protected(k, t[a:b])}) for t, s in zip(texts, spans)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(uid, uid + len(texts))), part.column(0), part.column(2),
@@ -205,8 +216,9 @@ def texts_of_terms(docs: DataFrame, scanned: DataFrame, together: DataFrame, set
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, settings: Disclosure) -> DataFrame:
     """digest and term for the terms of each scanned text that give one of its entities away, with their disclosure.
 
-    Entities of the same texts have the same counts with every term and are
-    counted as one group; so those of a single text are one, however many.
+    An entity of fewer texts than the support proves nothing and is left out before
+    terms are paired with it, so a long list of single values costs no pairs.
+    Entities of the same texts have the same counts with every term and are one group.
     """
     n_texts = scanned.select("digest").distinct().count()
     holding = scanned.where(F.size("entities") > 0)
@@ -223,16 +235,20 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, settings: Disclosure)
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"))
     together = cut_lineage(together.where(F.col("n_both") >= settings.support))
     counted = together.join(texts_of_terms(docs, scanned, together, settings), "term")
-    n = F.lit(float(max(n_texts, 1)))
-    mutual = F.log(n * F.col("n_both") / (F.col("n_entity") * (F.col("n_term") + F.lit(settings.prior))))
-    own = F.log(n / F.col("n_entity"))
-    disclosure = F.when(own > 0, mutual / own).otherwise(F.lit(0.0))
-    flagged = counted.withColumn("disclosure", disclosure).where(F.col("disclosure") >= settings.generalise)
+    flagged = counted.withColumn("disclosure", disclosed(n_texts, settings)).where(F.col("disclosure") >= settings.generalise)
     told = pairs.join(flagged.select("entity", "term", "disclosure"), ["entity", "term"])
     told = told.groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure"))
     return told.join(texts.select("uid", "digest"), "uid").drop("uid")
 
 
+def disclosed(n_texts: int, settings: Disclosure) -> Column:
+    """Lower bound of the share of a term's texts that hold the entity, 0 where it is not above the share of all texts."""
+    n, k, z2 = F.col("n_term").cast("double"), F.col("n_both").cast("double"), settings.z**2
+    spread = F.lit(settings.z) * F.sqrt(k * (n - k) / n + F.lit(z2 / 4))
+    low = (k + F.lit(z2 / 2) - spread) / (n + F.lit(z2))
+    return F.when(low * F.lit(float(n_texts)) > F.col("n_entity"), low).otherwise(F.lit(0.0))
+
+
 PRIVATE = "doc_id bigint, base string, spans string, sanitised string"
 
 
@@ -241,7 +257,7 @@ def shape(term: str) -> str:
     return re.sub(r"[^\W\d_]", lambda m: "X" if m.group().isupper() else "x", re.sub(r"\d", "0", term))
 
 
-def sanitise(docs: DataFrame, settings: Disclosure = EVERY) -> DataFrame:
+def sanitise(docs: DataFrame, settings: Disclosure = Disclosure()) -> DataFrame:
     """doc_id, base and all spans, and the sanitised text (null where nothing changes) of every row of `docs`.
 
     Spans are kind:start:end in code points, comma-joined by start; kinds are

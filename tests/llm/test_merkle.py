@@ -51,7 +51,7 @@ def by_hand(docs):
 
 
 def run(docs):
-    return sorted((tuple(r) for r in merkle.compare_neighbours(docs).collect()), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
+    return sorted((tuple(r)[:7] for r in merkle.compare_neighbours(docs).collect()), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
 
 
 def test_neighbours_of_odd_documents(spark):
@@ -71,3 +71,22 @@ def test_single_and_empty(spark):
     assert len(one) == 1 and one[0][-1] == 1
     assert len(run(table(spark, [(None, "no id", "en", "src1")]))) == 1
     assert run(empty(spark)) == []
+
+
+def test_located_edits_lie_at_the_cut(spark):
+    """The ranges start within a leaf of the known cut and reach to the end; without a change there are none."""
+    rows = [(i, prose(i, 200 + 10 * i), "en", "src1") for i in range(30)] + [(50 + i, "the same text " * 20, "en", "src1") for i in range(3)]
+    rows += [(60, None, "en", "src1"), (61, "ab", "en", "src1")]
+    texts = {d: t or "" for d, t, *_ in rows}
+    order = sorted(texts, reverse=True)
+    for r in merkle.compare_neighbours(table(spark, rows).repartition(4)).collect():
+        text, n = texts[r["doc_id"]], r["n_chars"]
+        after = texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        cut = n - n // 3
+        assert r["n_edits"] == len(r["edits"]) and all(0 <= e["first"] < e["behind"] <= n for e in r["edits"])
+        assert all(x["behind"] < y["first"] for x, y in zip(r["edits"], r["edits"][1:]))
+        if merkle.edited(text, after) == text:
+            assert r["edits"] == []
+        elif r["doc_id"] < 30:
+            assert cut - 400 < r["edits"][0]["first"] <= cut and r["edits"][-1]["behind"] == n
+            assert sum(e["behind"] - e["first"] for e in r["edits"]) >= n // 3
