@@ -6,24 +6,29 @@ from pyspark.sql import functions as F
 from stayline.operators import attribution as AT
 from stayline.operators import boosting as BO
 from stayline.operators import cohort as CO
+from stayline.operators import compare as CP
 from stayline.operators import features as FT
 from stayline.operators import isotonic as IS
 from stayline.operators import metrics as M
 from stayline.operators import models as MD
+from stayline.operators import study as ST
 from stayline.operators import transfer as TR
 from stayline.plans import bindings as B
 from stayline.plans.q_features import COLUMNS, MINIMAL
 from stayline.plans.registry import register
-from stayline.plans.sql import PANEL, SCORED, calibrated_sql, isotonic_sql, num, splits
-from stayline.session import cut_lineage
+from stayline.plans.sql import PANEL, SCORED, calibrated_sql, isotonic_sql, num, ranks, splits, utility
+from stayline.session import cut_lineage, shared_folder
+from stayline.sources import ledger as LG
 
 KEYS = ["site", "user_id", "hour"]
 DESIGN = PANEL + splits() + f""",
 design AS (SELECT m.*, split FROM (SELECT site, user_id, hour, label, {MINIMAL} FROM panel) m JOIN splits USING (site, user_id)),
 train AS (SELECT * FROM design WHERE split = 'a_train')"""
-_FILLED = ", ".join(f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in COLUMNS)
+_FILLED = ", ".join(f"coalesce(d.{c}, m.{c}) AS {c}" for c in COLUMNS)
+_MEANS = ", ".join(f"avg({c}) AS {c}" for c in COLUMNS)
 _STATS = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in COLUMNS)
-STATS = DESIGN + f", filled AS (SELECT {_FILLED} FROM train), stats AS (SELECT {_STATS} FROM filled)"
+STATS = DESIGN.replace("design AS (", "design AS MATERIALIZED (") + f""", means AS MATERIALIZED (SELECT {_MEANS} FROM train),
+filled AS (SELECT {_FILLED} FROM train d, means m), stats AS MATERIALIZED (SELECT {_STATS} FROM filled)"""
 _Z = {c: f"(coalesce({c}, {c}_m) - {c}_m) / CASE WHEN {c}_s > 0 THEN {c}_s ELSE 1 END" for c in COLUMNS}
 
 SPLIT_SCORED = SCORED + splits() + ", sp AS (SELECT scored.*, split FROM scored JOIN splits USING (site, user_id))"
@@ -73,7 +78,7 @@ def e1_stats(spark, sf):
     STATS + " SELECT site, user_id, hour, label, split, " + ", ".join(f"round({z}, 6) AS {c}" for c, z in _Z.items()) + " FROM design, stats",
 )
 def e1(spark, sf):
-    rows = design(spark, sf)
+    rows = stored_design(spark, sf)  # read by the fit and by the scaling
     return MD.Standardizer.fit(part(rows, "a_train"), COLUMNS).apply(rows)
 
 
@@ -208,6 +213,91 @@ def e8(spark, sf):
     return TR.transfer_curve(adapt, evaluation, B.EVENTS, columns, B.FROZEN["A"], n_values=(0, 50), draws=1, modes=("finetune",))
 
 
+# -- the study's matrix ---------------------------------------------------------------
+
+SETS = {"A": ("a_train",), "B": ("b_train",), "A+B": ("a_train", "b_train")}
+#: Fixed weights of the three models: those above, the same in reverse order, and their mean.
+SET_WEIGHTS = {
+    "A": WEIGHTS,
+    "B": dict(zip(COLUMNS, reversed(WEIGHTS.values()))),
+    "A+B": {c: (w + v) / 2 for c, w, v in zip(COLUMNS, WEIGHTS.values(), reversed(WEIGHTS.values()))},
+}
+
+
+def _set_sql(i: int, name: str) -> str:
+    splits_of = ", ".join(f"'{s}'" for s in SETS[name])
+    margin = " + ".join(f"({_Z[c]}) * {num(w)}" for c, w in SET_WEIGHTS[name].items())
+    return f""",
+train{i} AS MATERIALIZED (SELECT * FROM design WHERE split IN ({splits_of})),
+filled{i} AS (SELECT {_FILLED} FROM train{i} d, (SELECT {_MEANS} FROM train{i}) m),
+stats{i} AS MATERIALIZED (SELECT {_STATS} FROM filled{i}),
+scored{i} AS (SELECT '{name}' AS model, split, site, user_id, hour, label, round(1 / (1 + exp(-({num(INTERCEPT)} + {margin}))), 6) AS score
+  FROM design, stats{i} WHERE split IN ('a_val', 'b_eval'))"""
+
+
+_CELL = "CASE " + " ".join(f"WHEN model = '{m}' AND split = '{s}' THEN '{c}'" for c, m, s in CP.CELLS) + " END"
+STUDY = DESIGN.replace("design AS (", "design AS MATERIALIZED (") + "".join(_set_sql(i, n) for i, n in enumerate(SETS)) + f""",
+sm AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM scored{i}" for i in range(len(SETS)))}),
+val AS (SELECT model, site, user_id, hour, label, score, k / 100e0 AS t0 FROM sm, range(1, 100) r(k) WHERE split = 'a_val')""" + utility(
+    "val", "t0", "model, t0, site, user_id", "v_"
+) + f""", tried AS (SELECT model, t0, (sum(u) - sum(u0)) / nullif(sum(ubest) - sum(u0), 0) AS gain FROM v_util GROUP BY model, t0),
+frozen AS (SELECT model, t0 AS threshold FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(gain, 9) DESC, t0) AS r FROM tried WHERE gain IS NOT NULL) WHERE r = 1),
+cells AS (SELECT {_CELL} AS cell, threshold, site, user_id, hour, label, score FROM sm JOIN frozen USING (model) WHERE {_CELL} IS NOT NULL)"""
+
+
+@register(
+    "g1_model_matrix",
+    STUDY + ranks("cells", "cell") + utility("cells", "threshold", "cell, site, user_id") + """,
+m AS (SELECT cell, max(threshold) AS threshold, count(DISTINCT user_id) AS n_patients, count(*) AS n_hours, sum(label) AS p,
+  (sum(u) - sum(u0)) / nullif(sum(ubest) - sum(u0), 0) AS utility FROM util GROUP BY cell)
+SELECT cell, threshold, n_patients, n_hours, round(m.p / CAST(n_hours AS DOUBLE), 6) AS prevalence, round(utility, 6) AS utility,
+  round(auroc, 6) AS auroc, round(auprc, 6) AS auprc FROM m JOIN (SELECT cell, auroc, auprc FROM ranked) USING (cell)""",
+)
+def g1_models(spark, sf):
+    """Three fixed-weight models scored once, their thresholds frozen on A validation, the five cells in one plan."""
+    rows = stored_design(spark, sf)
+    held = rows.filter(F.col("split").isin("a_val", "b_eval"))
+    scored = None
+    for name, splits_of in SETS.items():
+        scaler = MD.Standardizer.fit(rows.filter(F.col("split").isin(*splits_of)), COLUMNS)
+        one = MD.linear_score(held, scaler, SET_WEIGHTS[name], INTERCEPT, [*KEYS, "label", "split"]).withColumn("model", F.lit(name))
+        scored = one if scored is None else scored.unionByName(one)
+    return ST.study_matrix(cut_lineage(scored), B.EVENTS).select(*MATRIX)
+
+
+MATRIX = ("cell", "threshold", "n_patients", "n_hours", "prevalence", "utility", "auroc", "auprc")
+
+
+@register("g1_fitted_matrix")
+def g1_fitted(spark, sf):
+    """The same with boosted models fitted on the three training sets in the same passes, scored once through the ledger."""
+    rows = stored_design(spark, sf)
+    CO.assert_disjoint(rows.select(*B.EVENTS.key, "split"), B.EVENTS)
+    own = F.filter(F.array(*[F.when(F.col("split").isin(*s), F.lit(i)) for i, s in enumerate(SETS.values())]), lambda m: m.isNotNull())
+    train = rows.filter(F.col("split").isin("a_train", "b_train")).withColumn("_models", own)
+    fitted = dict(zip(SETS, BO.fit(train, BO.Binning.fit(train, COLUMNS), [BO.BoostParams()] * len(SETS), members="_models")))
+    keep = [*KEYS, "label", "split"]
+    validation = BO.score(part(rows, "a_val"), fitted, keep)
+    thresholds = {r["model"]: r["threshold"] for r in ST.frozen_thresholds(validation, B.ENTITY).collect()}
+    evaluation = CO.held_out(part(rows, "b_eval"), B.EVENTS)
+    current = LG.fingerprint({
+        "model": {n: m.to_json() for n, m in fitted.items()}, "threshold": thresholds, "columns": COLUMNS,
+        "rows": LG.data_fingerprint(evaluation, [*KEYS, "label", *COLUMNS]),
+    })
+
+    def score() -> dict:
+        frozen = F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(t).alias("threshold")) for n, t in thresholds.items()]))
+        both = cut_lineage(validation.unionByName(BO.score(evaluation, fitted, keep)))
+        record = ST.study_matrix(both, B.EVENTS, spark.range(0, 1, 1, 1).select(frozen))
+        return {"cells": [r.asDict() for r in record.select(*MATRIX).collect()]}  # five rows
+
+    path = f"{shared_folder(spark)}/study-{spark.sparkContext.applicationId}"
+    got = LG.score_once(spark, path, sf, current, score)["results"]["cells"]
+    kinds = "cell string, threshold double, n_patients bigint, n_hours bigint, prevalence double, utility double, auroc double, auprc double"
+    return spark.createDataFrame([tuple(r[c] for c in MATRIX) for r in got], kinds)
+
+
 # -- attribution ---------------------------------------------------------------------
 
 

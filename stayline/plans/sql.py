@@ -69,21 +69,22 @@ splits AS (
 """
 
 
-def utility(source: str, threshold: str, keys: str = "site, user_id") -> str:
+def utility(source: str, threshold: str, keys: str = "site, user_id", prefix: str = "") -> str:
     """Rows with onset and the utility of alerting, staying quiet, the choice, and the best one."""
+    onsets, rel, uvals, util = (prefix + n for n in ("onsets", "rel", "uvals", "util"))
     return f""",
-onsets AS (SELECT {keys}, min(CASE WHEN label = 1 THEN hour END) AS onset FROM {source} GROUP BY {keys}),
-rel AS (SELECT s.*, onset, hour - onset - 6 AS dt, {threshold} AS t FROM {source} s JOIN onsets USING ({keys})),
-uvals AS (
+{onsets} AS (SELECT {keys}, min(CASE WHEN label = 1 THEN hour END) AS onset FROM {source} GROUP BY {keys}),
+{rel} AS (SELECT s.*, onset, hour - onset - 6 AS dt, {threshold} AS t FROM {source} s JOIN {onsets} USING ({keys})),
+{uvals} AS (
   SELECT *,
     CASE WHEN onset IS NULL THEN -0.05e0 WHEN dt <= -6 THEN greatest((dt + 12) / 6e0, -0.05e0)
          WHEN dt <= 3 THEN (3 - dt) / 9e0 ELSE 0e0 END AS u1,
     CASE WHEN onset IS NULL THEN 0e0 WHEN dt <= -6 THEN 0e0
          WHEN dt <= 3 THEN -2e0 * (dt + 6) / 9e0 ELSE 0e0 END AS u0
-  FROM rel),
-util AS (
+  FROM {rel}),
+{util} AS (
   SELECT *, CASE WHEN score >= t THEN u1 ELSE u0 END AS u,
-    CASE WHEN dt BETWEEN -12 AND 3 THEN u1 ELSE u0 END AS ubest FROM uvals)
+    CASE WHEN dt BETWEEN -12 AND 3 THEN u1 ELSE u0 END AS ubest FROM {uvals})
 """
 
 

@@ -180,3 +180,17 @@ def test_evaluation_refuses_unusable_rows(spark):
             M.evaluate(bad, [], F.lit(0.5)).collect()
     with pytest.raises(PySparkException, match="no rows"):
         M.evaluate(spark.createDataFrame([], columns), ["site"], F.lit(0.5)).collect()
+
+
+def test_the_aggregate_of_onsets_is_shuffled_once(spark):
+    """Nullable keys too: the join reads the partitioning of the aggregate under it."""
+    rows = stays(spark, ("a", [0, 1], [0.1, 0.9])).repartition(3)
+    assert any(f.nullable for f in rows.select("site", "entity").schema)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = M.with_utility(rows, ["site", "entity"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    assert plan.count("Exchange hashpartitioning") == 2

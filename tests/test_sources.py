@@ -163,6 +163,34 @@ def test_held_out_site_is_scored_once(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_one_of_two_drivers_scores(spark, tmp_path):
+    """Both look before either has claimed: the file system lets one claim succeed, the other does not score."""
+    path, calls = str(tmp_path / "r"), []
+    now = ledger.fingerprint({"model": 1})
+
+    def slow():
+        calls.append("first")
+        with pytest.raises(RuntimeError, match="another driver"):  # a second driver comes while the first scores
+            ledger.score_once(spark, path, "cells", now, lambda: calls.append("second") or {})
+        return {"auroc": 0.7}
+
+    assert ledger.score_once(spark, path, "cells", now, slow)["results"] == {"auroc": 0.7} and calls == ["first"]
+    assert ledger.claim(spark, path, "race", 0) and not ledger.claim(spark, path, "race", 0)
+    with pytest.raises(ZeroDivisionError):  # a failed scoring gives its claim back
+        ledger.score_once(spark, path, "failing", now, lambda: 1 / 0)
+    assert ledger.score_once(spark, path, "failing", now, lambda: {"x": 1})["results"] == {"x": 1}
+    with pytest.raises(RuntimeError, match="being scored"):  # claimed by a driver that died
+        ledger.score_once(spark, path, "race", now, lambda: {})
+    assert ledger.score_once(spark, path, "race", now, lambda: {"y": 2}, force=True)["results"] == {"y": 2}
+
+
+def test_fingerprint_of_rows(spark):
+    df = spark.createDataFrame([("a", 1, 0.5), ("b", None, None), ("b", None, None)], "k string, n int, x double")
+    same = ledger.data_fingerprint(df.repartition(3), ["k", "n", "x"])
+    assert same == ledger.data_fingerprint(df, ["k", "n", "x"]) != ledger.data_fingerprint(df.distinct(), ["k", "n", "x"])
+    assert ledger.data_fingerprint(df.limit(0), ["k"]) == "0:"
+
+
 def test_origin_is_the_same_for_repeated_runs(spark):
     inputs = spark.createDataFrame([("A", "abc"), ("B", "def")], "site string, digest string")
     key = lambda d, seed=1: provenance.origin_key(provenance.origin(spark, d, seed)).first()["origin"]
