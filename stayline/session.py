@@ -51,6 +51,19 @@ def _remove_tables() -> None:
             _delete(path, settings)
 
 
+def _remember(spark: SparkSession, path: str) -> str:
+    """Have `path` removed when the driver ends; the settings of the session find its file system."""
+    if not _WRITTEN:
+        atexit.register(_remove_tables)
+    _WRITTEN[path] = spark._jsparkSession.sessionState().newHadoopConf()
+    return path
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for files that a query reads back; it goes when the driver ends, as tables do."""
+    return _remember(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
@@ -61,10 +74,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _WRITTEN:
-        atexit.register(_remove_tables)
-    _WRITTEN[path] = spark._jsparkSession.sessionState().newHadoopConf()
-    out = spark.read.parquet(path)
+    out = spark.read.parquet(_remember(spark, path))
     out._stored_at = path
     return out
 
