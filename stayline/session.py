@@ -59,11 +59,6 @@ def _remember(spark: SparkSession, path: str) -> str:
     return path
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one for files that a query reads back; it goes when the driver ends, as tables do."""
-    return _remember(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 
