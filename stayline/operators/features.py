@@ -17,6 +17,11 @@ from stayline.operators.blocks import BLOCK, BLOCK_HOURS, HALO, block_hours, hou
 from stayline.spec import STATISTICS, WINDOWS, PanelSpec
 
 
+#: Measured on stored panels, eight cores: 1,049,414 hours of 5 variables take 12 to 14 s wide and 22 s as rows, 57,000
+#: hours of 34 variables 28 s wide (the generated code grows too long) and 10 s as rows.
+WIDE_UP_TO = 5
+
+
 def missing_flag(x: Column) -> Column:
     return x.isNull().cast("int")
 
@@ -157,10 +162,37 @@ def feature_arrays(
     return _by_hour(panel, spec, windows).select(*spec.side, F.concat(*parts, "_s").alias("features"))
 
 
+def _wide_features(panel: DataFrame, spec: PanelSpec, windows: Sequence[int]) -> DataFrame:
+    """All variables of an hour stay in one row: one shuffle, one sort, no grouping back."""
+    lookback = max(windows) - 1
+    carried = [*spec.side, *[c for c in spec.model_static if c not in spec.side]]
+    rows = with_halo(panel.select(*carried, *spec.variables), spec.hour, lookback).repartition(*spec.key, BLOCK)
+    rows = rows.join(_last_measured(spec, panel, values=False, size=block_hours(lookback)), [*spec.key, BLOCK])
+    w = W.partitionBy(*spec.key, BLOCK).orderBy(spec.hour)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    features = {c: F.col(c) for c in spec.model_static}
+    for v in spec.variables:
+        at = F.when(F.col(v).isNotNull(), F.col(spec.hour))
+        last_at = F.coalesce(F.last(at, ignorenulls=True).over(upto), F.col(f"_ph_{v}"))
+        features |= {f"{v}_missing": missing_flag(F.col(v)), f"{v}_hours_since_measured": F.col(spec.hour) - last_at}
+        for n in windows:
+            frame = w.rowsBetween(-(n - 1), 0)
+            features |= {f"{v}_{s}_{n}": trailing(s, v, spec.hour, frame) for s in STATISTICS}
+    columns = [features[c].cast("double").alias(c) for c in spec.window_feature_columns(windows)]
+    return rows.select(*spec.side, HALO, *columns).filter(~F.col(HALO)).drop(HALO)
+
+
 def window_features(
-    panel: DataFrame, spec: PanelSpec, windows: Sequence[int] = WINDOWS
+    panel: DataFrame, spec: PanelSpec, windows: Sequence[int] = WINDOWS, wide_up_to: int = WIDE_UP_TO
 ) -> DataFrame:
-    """The full wide set, in frozen order; every column is a plain array access."""
+    """The full wide set, in frozen order.
+
+    Up to `wide_up_to` variables the rows stay wide; with more of them the
+    variables become rows, and every column is a plain array access.
+    """
+    names = spec.window_feature_columns(windows)
+    if len(spec.variables) <= wide_up_to:
+        return _wide_features(panel, spec, windows)
     n, width = len(spec.variables), len(STATISTICS)
     slots = [f"_v[{v}][{j}]" for v in range(n) for j in (0, 1)]
     slots += [
@@ -170,7 +202,6 @@ def window_features(
         for j in range(width)
     ]
     slots += [f"_s[{i}]" for i in range(len(spec.model_static))]
-    names = spec.window_feature_columns(windows)
     return _by_hour(panel, spec, windows).selectExpr(
         *spec.side, *[f"{slot} AS `{name}`" for slot, name in zip(slots, names, strict=True)]
     )
