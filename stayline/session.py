@@ -59,6 +59,11 @@ def _remember(spark: SparkSession, path: str) -> str:
     return path
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the driver ends."""
+    return _remember(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 

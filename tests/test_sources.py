@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stayline.operators.features import observable_columns, window_features
-from stayline.sources import ledger, manifest, provenance, psv, store
+from stayline.sources import ledger, manifest, provenance, psv, sink, store
 from stayline.spec import RAW_COLUMNS, PanelSpec
 from tests import synth
 from tests.conftest import STAYS, stay_lines, write_stays
@@ -210,3 +210,45 @@ def test_synthetic_cohort(spark):
     seen = a.agg(F.count("HR").alias("hr"), F.count("Lactate").alias("lac"), F.count("*").alias("n")).first()
     assert seen["lac"] < seen["hr"] / 3 and a.filter("HR = -999").count() > 0
     assert a.select("site", "patient_id").distinct().count() == 40
+
+
+def test_a_second_load_writes_nothing(spark, tmp_path):
+    """Every key once; only buckets with a key whose cell is taken are read, only new rows are written."""
+    path, at = str(tmp_path / "sink"), lambda n: sink.stored(spark, path, "key string, n bigint").count() == n
+    rows = lambda a, b: spark.range(a, b).select(F.concat(F.lit("k|"), "id").alias("key"), F.col("id").alias("n"))
+    assert at(0)
+    new, counts = sink.load(rows(0, 500), path, buckets=8, pages=2)
+    assert new.count() == 500 and counts["checked"] == counts["read_files"] == 0 and at(500)
+    again, counts = sink.load(rows(0, 500), path)
+    assert again.count() == 0 and counts["written_files"] == 0 and counts["checked"] == 8 and at(500)
+    one, counts = sink.load(rows(7, 8), path)
+    assert one.count() == 0 and counts["checked"] == 1 and 1 <= counts["read_files"] <= 2
+    new, counts = sink.load(rows(0, 600), path)
+    assert {r["n"] for r in new.collect()} == set(range(500, 600)) and at(600)
+    far, counts = sink.load(rows(10**6, 10**6 + 3), path)  # their cells are empty: nothing is read
+    assert far.count() == 3 and counts["read_files"] <= 2 and at(603)
+    assert sink.load(rows(0, 0), path)[1]["written_files"] == 0
+    twice = rows(900, 910).unionByName(rows(900, 910).withColumn("n", F.col("n") + 1000))
+    assert sorted(r["n"] for r in sink.load(twice, path)[0].collect()) == list(range(900, 910)) and at(613)
+    with pytest.raises((PySparkException, Py4JJavaError), match="without a key"):
+        sink.load(spark.sql("SELECT CAST(NULL AS STRING) AS key, CAST(1 AS BIGINT) AS n"), path)
+
+
+def test_of_two_loads_one_commits_first(spark, tmp_path, monkeypatch):
+    """Another driver commits while this one works: it looks again, and each key is stored once."""
+    path = str(tmp_path / "sink")
+    rows = lambda a, b: spark.range(a, b).select(F.col("id").cast("string").alias("key"))
+    sink.load(rows(0, 10), path, buckets=2, pages=1)
+    inner, once = sink._unseen, []
+
+    def slow(*args):
+        found = inner(*args)
+        if not once:
+            once.append(1)
+            assert sink.load(rows(5, 15), path)[0].count() == 5
+        return found
+
+    monkeypatch.setattr(sink, "_unseen", slow)
+    new, _ = sink.load(rows(12, 20), path)
+    assert sorted(int(r["key"]) for r in new.collect()) == [15, 16, 17, 18, 19]
+    assert sink.stored(spark, path, "key string").count() == 20
