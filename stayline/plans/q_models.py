@@ -17,8 +17,9 @@ from stayline.plans import bindings as B
 from stayline.plans.q_features import COLUMNS, MINIMAL
 from stayline.plans.registry import register
 from stayline.plans.sql import PANEL, SCORED, calibrated_sql, isotonic_sql, num, ranks, splits, utility
-from stayline.session import cut_lineage, shared_folder
+from stayline.session import cut_lineage, driver_folder, shared_folder
 from stayline.sources import ledger as LG
+from stayline.sources.stages import stage
 
 KEYS = ["site", "user_id", "hour"]
 DESIGN = PANEL + splits() + f""",
@@ -43,7 +44,10 @@ def design(spark, sf) -> DataFrame:
 
 
 def stored_design(spark, sf) -> DataFrame:
-    return cut_lineage(design(spark, sf))
+    """The design of a driver, one for all queries on the same rows and columns."""
+    columns = [*dict.fromkeys([*B.EVENTS.side, *COLUMNS, "split"])]
+    rows = {"events": B.table(spark, sf, "events").select("user_id", "ts", "event_type", "value")}
+    return stage(spark, driver_folder(spark, "stages"), "design", rows, columns, lambda: design(spark, sf).select(*columns))
 
 
 #: With it about a tenth of the hours lie above the frozen thresholds.

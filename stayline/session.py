@@ -64,6 +64,11 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return _remember(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
+def driver_folder(spark: SparkSession, name: str) -> str:
+    """The same folder for all calls of a driver, removed with it."""
+    return _remember(spark, f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back.
 

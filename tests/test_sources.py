@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stayline.operators.features import observable_columns, window_features
-from stayline.sources import ledger, manifest, provenance, psv, sink, store
+from stayline.sources import ledger, manifest, provenance, psv, sink, stages, store
 from stayline.spec import RAW_COLUMNS, PanelSpec
 from tests import synth
 from tests.conftest import STAYS, stay_lines, write_stays
@@ -252,3 +252,32 @@ def test_of_two_loads_one_commits_first(spark, tmp_path, monkeypatch):
     new, _ = sink.load(rows(12, 20), path)
     assert sorted(int(r["key"]) for r in new.collect()) == [15, 16, 17, 18, 19]
     assert sink.stored(spark, path, "key string").count() == 20
+
+
+def test_stages_are_built_once_for_the_same_input(spark, tmp_path):
+    root, built = str(tmp_path / "stages"), []
+    rows = spark.createDataFrame([("A", i, None if i % 3 else i / 7) for i in range(40)], "site string, i int, x double")
+
+    def get(source=rows, columns=("site", "y"), settings=None):
+        def build():
+            built.append(1)
+            return source.groupBy("site").agg(F.sum("x").alias("y"))
+
+        return stages.stage(spark, root, "sums", {"rows": source}, columns, build, settings)
+
+    first = get().collect()
+    assert get(rows.repartition(5)).collect() == first and len(built) == 1  # order and partitioning do not matter
+    get(rows.filter("i > 3"))
+    get(settings={"window": 6})
+    assert len(built) == 3
+    with pytest.raises(ValueError, match="columns"):
+        get(columns=("y", "site"))
+    names = [n for n in stages.files.names(spark, root) if stages.read_stage(spark, root, n) is not None]
+    assert len(names) == 3
+    facts = {(r["kind"], r["name"]): r["value"] for r in stages.read_origin(spark, root, names[0]).collect()}
+    assert facts["stage", "code"] == stages.code_revision() and ("input", "rows") in facts
+    # a driver that was lost before the end: its folders are not read, the stage is built again
+    stages.files.remove(spark, f"{root}/{names[0]}/{stages.DONE}")
+    assert stages.read_stage(spark, root, names[0]) is None
+    assert stages.release(spark, root, 1) == [] and set(stages.release(spark, root, 0, keep=names[1:])) >= {names[0]}
+    assert set(names[1:]) == set(stages.files.names(spark, root))
