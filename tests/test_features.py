@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from stayline.operators import features as FT
 from stayline.operators.grid import dense_grid
 from stayline.spec import STATISTICS, PanelSpec
-from tests.conftest import close
+from tests.conftest import TESTDATA, close
 
 ONE = PanelSpec(entity="e", clock="clock", label="y", variables=("x",), model_static=("clock",))
 SCHEMA = "site string, e string, hour int, x double, clock int, y int"
@@ -127,3 +127,61 @@ def test_wide_and_long_features_agree(cohort):
     assert a == b and len(a) == cohort.count()
     plan = wide._jdf.queryExecution().executedPlan().toString()
     assert "Generate inline" not in plan and "collect_list" not in plan
+
+
+def broadcast_generators(df):
+    """Generators of the finished plan whose rows go to the driver with no shuffle in between."""
+    df.collect()
+    found, inside = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines():
+        name = line.lstrip(" :+-*|")
+        depth = len(line) - len(name)
+        if inside is not None and (depth <= inside or name.startswith("Exchange")):
+            inside = None
+        if name.startswith("BroadcastExchange"):
+            inside = depth
+        elif inside is not None and "Generate" in name:
+            found.append(name)
+    return found
+
+
+def test_generated_hours_are_not_broadcast(spark):
+    """Spark takes the hours for as few as the rows they are made from."""
+    from stayline.operators.cohort import entity_hours
+    from stayline.operators.metrics import onsets, with_utility
+    from stayline.plans import bindings as B
+
+    panel = B.cohort(spark, TESTDATA)
+    assert broadcast_generators(entity_hours(panel, B.EVENTS)) == []
+    rows = with_utility(B.scored(spark, TESTDATA), B.ENTITY)
+    assert broadcast_generators(rows.groupBy("site").sum("u_best")) == []
+    assert broadcast_generators(onsets(panel, B.ENTITY)) == []
+
+
+def test_hours_are_made_in_as_many_tasks_as_asked_for(spark):
+    """However few bytes the readings take, Spark does not merge the tasks that make the hours."""
+    span = spark.createDataFrame([("a", 0, 1.0), ("a", 99_999, 2.0), ("b", 7, 3.0)], "e string, t long, x double")
+    parts = dense_grid(span, ["e"], "t").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(r["count"] for r in parts) == 100_001
+
+
+def test_blocks_with_halo_hold_every_hour(spark):
+    """Hours before 1970, gaps over whole blocks, readings on block borders."""
+    from stayline.operators.grid import fill_blocks, reading_blocks
+
+    read = {("a", t): float(t) for t in (-600, -1, 0, 440, 511, 512, 2100)} | {("b", 511): 1.0, ("c", 505): 2.0, ("c", 520): 3.0}
+    rows = spark.createDataFrame([(e, t, x) for (e, t), x in read.items()], "e string, t long, x double")
+    first = {"a": -600, "b": 511, "c": 505}
+    last = {"a": 2100, "b": 511, "c": 520}
+    want = set()
+    for e in first:
+        for t in range(first[e], last[e] + 1):
+            for b in {t // 512, (t + 72) // 512}:
+                if b <= last[e] // 512:
+                    want.add((e, b, t, t - first[e], b != t // 512, read.get((e, t))))
+    got = [
+        (r["e"], r["_block"], r["t"], r["hour"], r["_halo"], r["x"])
+        for r in fill_blocks(reading_blocks(rows, ["e"], "t", 72), ["e"], "t", 72).collect()
+    ]
+    assert len(got) == len(want) and set(got) == want
