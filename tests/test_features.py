@@ -185,3 +185,15 @@ def test_blocks_with_halo_hold_every_hour(spark):
         for r in fill_blocks(reading_blocks(rows, ["e"], "t", 72), ["e"], "t", 72).collect()
     ]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_features_keep_the_number_of_tasks(spark):
+    """Rows by block are not merged into a few tasks by their bytes in the shuffle."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spec = PanelSpec(entity="e", clock="clock", label="label", variables=("HR",), static=(), model_static=())
+    rows = spark.range(20_000).selectExpr(
+        "if(id < 0, 'B', 'A') AS site", "if(id < 0, 'b', 'a') AS e", "cast(id AS int) AS hour", "cast(id AS int) AS clock", "0 AS label", "if(id % 50 = 0, 1.0D, null) AS HR"
+    )
+    for made in (FT.recency(rows, spec), FT.window_features(rows, spec)):
+        parts = made.groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) == n and sum(r["count"] for r in parts) == 20_000
