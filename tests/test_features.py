@@ -197,3 +197,44 @@ def test_features_keep_the_number_of_tasks(spark):
     for made in (FT.recency(rows, spec), FT.window_features(rows, spec)):
         parts = made.groupBy(F.spark_partition_id()).count().collect()
         assert len(parts) == n and sum(r["count"] for r in parts) == 20_000
+
+
+def shuffled(df):
+    """What each shuffle of the finished plan carries, one list of columns a shuffle."""
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in final.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_features_of_a_panel_in_blocks_shuffle_no_hours(spark):
+    """Readings and summaries are shuffled once; hours, their features and their split stay where they are made."""
+    from stayline.operators.cohort import split_sites, with_split
+    from stayline.plans import bindings as B
+
+    plain = B.cohort(spark, TESTDATA)
+    panel = B.cohort_blocks(spark, TESTDATA, 23, split=True)
+    n_hours = plain.count()
+    pairs = [
+        (FT.window_features(panel, B.EVENTS), FT.window_features(plain, B.EVENTS)),
+        (FT.minimal_features(panel, B.EVENTS, ["split"]),
+         with_split(FT.minimal_features(plain, B.EVENTS), split_sites(B.events(spark, TESTDATA), B.EVENTS), B.EVENTS)),
+    ]
+    for stays, dealt in pairs:
+        stays, dealt = (d.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in d.dtypes]) for d in (stays, dealt))
+        assert sorted(stays.columns) == sorted(dealt.columns)
+        assert {tuple(r) for r in stays.collect()} == {tuple(r) for r in dealt.select(*stays.columns).collect()}
+        # The hours of a panel dealt out again go through one exchange more, and another for the split.
+        assert len(shuffled(stays)) < len(shuffled(dealt))
+        assert stays.count() == n_hours
+
+
+def test_trailing_statistics_of_one_list(spark):
+    """Equal values, values far from zero, one and two readings, none at all, infinite ones."""
+    xs = [None, 1e9, 1e9 + 1, None, None, None, None, 3.0, 3.0, 3.0, None, float("inf"), None]
+    got = {r["hour"]: r for r in FT.window_features_long(panel(spark, xs), ONE, (3, 6)).collect()}
+    assert [got[0][f"{s}_3"] for s in STATISTICS] == [None] * 5
+    assert got[1]["slope_3"] is None and got[1]["mean_3"] == 1e9
+    assert got[2]["slope_3"] == 1.0 and got[2]["last_6"] == 1e9 + 1
+    assert got[5]["slope_3"] is None and got[5]["slope_6"] == 1.0
+    assert got[9]["slope_3"] == 0.0 and got[9]["min_6"] == 3.0
+    assert got[12]["max_3"] == float("inf") and got[12]["last_3"] == float("inf")
