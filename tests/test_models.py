@@ -153,3 +153,17 @@ def test_registered_curve_is_the_whole_study(monkeypatch, spark):
     assert called.get("n_values", CONFIG.transfer_n) == CONFIG.transfer_n
     assert called.get("draws", CONFIG.transfer_draws) == CONFIG.transfer_draws
     assert "params" not in called and transfer_curve.__defaults__[2].rounds == CONFIG.fine_tune_rounds
+
+
+def test_last_rows_are_found_without_a_sort(spark):
+    """The row of the last hour with all its columns, also text; a column that nobody reads is left out."""
+    from stayline.plans.q_models import last_rows
+
+    rows = spark.createDataFrame(
+        [("A", i % 7, h, None if h % 5 == 4 else h / 3, f"s{h}") for i in range(14) for h in range(i // 7, 20, 2)],
+        "site string, entity int, hour int, x double, split string",
+    ).repartition(3)
+    got = {r["entity"]: tuple(r) for r in last_rows(rows, ["site", "entity"]).collect()}
+    assert got == {e: ("A", e, 19, None, "s19") for e in range(7)}
+    plan = last_rows(rows, ["site", "entity"]).drop("split")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "split" not in plan.split("Scan ExistingRDD")[0].replace("drop", "")
