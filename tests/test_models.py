@@ -167,3 +167,17 @@ def test_last_rows_are_found_without_a_sort(spark):
     assert got == {e: ("A", e, 19, None, "s19") for e in range(7)}
     plan = last_rows(rows, ["site", "entity"]).drop("split")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "split" not in plan.split("Scan ExistingRDD")[0].replace("drop", "")
+
+
+def test_rows_are_not_shuffled_by_model_for_their_threshold(spark):
+    """There are as few models as thresholds, so a shuffle by model has as few tasks."""
+    from stayline.operators.study import study_matrix
+
+    rows = [
+        (m, s, site, site + str(i), h, int(h > 3), (h + i) / 10)
+        for m in ("A", "B", "A+B") for s, site in (("a_val", "A"), ("b_eval", "B")) for i in range(3) for h in range(6)
+    ]
+    scored = spark.createDataFrame(rows, "model string, split string, site string, entity string, hour int, label int, score double")
+    plan = study_matrix(scored, SPEC)._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.splitlines() if "Join" in line and "model" in line]
+    assert any("rightHint=(strategy=broadcast)" in line for line in joined)
