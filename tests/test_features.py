@@ -158,6 +158,18 @@ def test_generated_hours_are_not_broadcast(spark):
     assert broadcast_generators(onsets(panel, B.ENTITY)) == []
 
 
+@pytest.mark.parametrize(
+    "query",
+    ["b2_inclusion", "b3_inclusion_report", "d1_cohort_counts", "d3_length_of_stay", "f3_accuracy_f_measure", "f4_prevalence_counts",
+     "f5_brier", "f6_reliability", "f7_alert_rate", "f11_best_threshold", "f12_alert_burden"],
+)
+def test_queries_on_the_panel_broadcast_no_hours(spark, query):
+    """What goes to the driver is made of entities, groups or thresholds."""
+    from stayline.plans.queries import QUERIES
+
+    assert broadcast_generators(QUERIES[query](spark, TESTDATA)) == []
+
+
 def test_hours_are_made_in_as_many_tasks_as_asked_for(spark):
     """However few bytes the readings take, Spark does not merge the tasks that make the hours."""
     span = spark.createDataFrame([("a", 0, 1.0), ("a", 99_999, 2.0), ("b", 7, 3.0)], "e string, t long, x double")
