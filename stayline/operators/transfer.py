@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from stayline.functions.expr import hash_block, seeded_hash
 from stayline.operators import boosting as BO
-from stayline.operators.blocks import row_numbers
+from stayline.operators.blocks import join_groups, row_numbers
 from stayline.operators.cohort import assert_adaptation_disjoint, draw_seed
 from stayline.operators.isotonic import calibrate, fit_pools
-from stayline.operators.metrics import evaluate
+from stayline.operators.metrics import evaluate, with_onset
 from stayline.session import cut_lineage
 from stayline.spec import CONFIG, PanelSpec
 
 #: Scores are kept this far from 0 and 1 before their log odds are taken.
 EDGE = 1e-9
+ONSET = "_onset"
 
 
 def calibration_arms(arms: dict[str, DataFrame], entity: Sequence[str]) -> DataFrame:
@@ -51,13 +52,28 @@ def curve_draws(adapt: DataFrame, spec: PanelSpec, sizes: Sequence[int], draws:
     return ranked.where(F.col("_rank") <= F.col("n")).select("n", "draw", *spec.key)
 
 
+def of_draws(adapt: DataFrame, drawn: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The rows of the drawn entities, once for each row of `drawn` with their key.
+
+    The draws are broadcast: they have at most sizes x draws x the largest size rows,
+    while a stored frame of many rows may be a file small enough for Spark to broadcast that.
+    """
+    return adapt.join(F.broadcast(drawn), spec.key)
+
+
 def recalibrated(adapt: DataFrame, evaluation: DataFrame, drawn: DataFrame, spec: PanelSpec, cells: Sequence[tuple[int, int]]) -> DataFrame:
-    """(n, draw, key, hour, label, score) of `evaluation`, calibrated on the rows of each draw; all draws in the same jobs."""
+    """(n, draw, key, hour, label, _onset, score) of `evaluation`, calibrated on the rows of each draw; all draws in the same jobs.
+
+    Distinct scores are calibrated for all draws first, and a row becomes one for
+    each draw after it has found those of its score.
+    """
     by = ["n", "draw"]
-    pools = fit_pools(adapt.select(*spec.key, "score", "label").join(drawn, spec.key), keys=by)
+    pools = fit_pools(of_draws(adapt.select(*spec.key, "score", "label"), drawn, spec), keys=by)
     every = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("draw")) for n, d in cells])
-    asked = evaluation.select(*spec.key, "hour", "label", "score", F.inline(every))
-    return calibrate(pools, asked, by).select(*by, *spec.key, "hour", "label", "score")
+    asked = evaluation.select("score").distinct().select("score", F.col("score").alias("_base"), F.inline(every))
+    each = calibrate(pools, asked, by).groupBy("_base").agg(F.collect_list(F.struct(*by, "score")).alias("_draws"))
+    rows = evaluation.select(*spec.key, "hour", "label", ONSET, F.col("score").alias("_base"))
+    return join_groups(rows, each, ["_base"], "left").select(*spec.key, "hour", "label", ONSET, F.inline("_draws"))
 
 
 def fine_tuned(
@@ -70,12 +86,12 @@ def fine_tuned(
     members = drawn.groupBy(*spec.key).agg(F.collect_list(number).alias("_models"))
     rows = adapt.withColumn("_margin", margin(F.col("score")))
     models = BO.fit(
-        rows.join(members, spec.key), BO.Binning.fit(adapt, columns), [params] * len(cells), base="_margin", members="_models"
+        of_draws(rows, members, spec), BO.Binning.fit(adapt, columns), [params] * len(cells), base="_margin", members="_models"
     )
     named = {f"{n}:{d}": m for (n, d), m in zip(cells, models)}
-    scored = BO.score(evaluation.withColumn("_margin", margin(F.col("score"))), named, [*spec.key, "hour", "label"], base="_margin")
+    scored = BO.score(evaluation.withColumn("_margin", margin(F.col("score"))), named, [*spec.key, "hour", "label", ONSET], base="_margin")
     part = F.split("model", ":")
-    return scored.select(part[0].cast("int").alias("n"), part[1].cast("int").alias("draw"), *spec.key, "hour", "label", "score")
+    return scored.select(part[0].cast("int").alias("n"), part[1].cast("int").alias("draw"), *spec.key, "hour", "label", ONSET, "score")
 
 
 def transfer_curve(
@@ -103,7 +119,8 @@ def transfer_curve(
     available = adapt.select(*entity).distinct().count()
     sizes = [n for n in n_values if 0 < n <= available]
     cells = [(n, d) for n in sizes for d in range(draws)]
-    head = ["n", "draw", "mode", *entity, "hour", "label", "score"]
+    head = ["n", "draw", "mode", *entity, "hour", "label", ONSET, "score"]
+    evaluation = with_onset(evaluation, entity, name=ONSET)  # the labels of all draws are the same
     frames = evaluation.select(F.lit(0).alias("n"), F.lit(0).alias("draw"), F.lit("base").alias("mode"), *head[3:])
     if cells:
         drawn = cut_lineage(curve_draws(adapt, spec, sizes, draws, seed))
@@ -114,7 +131,7 @@ def transfer_curve(
                 else fine_tuned(adapt, evaluation, drawn, spec, cells, columns, params)
             )
             frames = frames.unionByName(adapted.withColumn("mode", F.lit(mode)).select(*head))
-    record = evaluate(frames, ["n", "draw", "mode"], F.lit(float(threshold)), entity)
+    record = evaluate(frames, ["n", "draw", "mode"], F.lit(float(threshold)), entity, ONSET)
     every = F.array(*[F.struct(F.lit(d).alias("draw"), F.lit(m).alias("mode")) for d in range(draws) for m in modes])
     own = F.array(F.struct("draw", "mode"))
     each = record.withColumn("_e", F.explode(F.when(F.col("mode") == "base", every).otherwise(own)))

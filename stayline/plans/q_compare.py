@@ -174,13 +174,15 @@ def g6(spark, sf):
     return M.subgroup_metrics(B.scored(spark, sf), labels, B.ENTITY, min_positives=2000)
 
 
+def curve_rows(spark, sf):
+    """The hours of site B with the base score and the split of their user."""
+    rows = B.event_panel(spark, sf, scores=True, split=True).filter(F.col("split").isin("b_train", "b_eval"))
+    return rows.select(*B.ENTITY, "hour", "label", "score", "n_events", "n72", "ecum", "split")
+
+
 def _curve(spark, sf, modes):
     """Base score adapted with n users of site B, for the sizes and draws of the study; scored on the rest of site B."""
-    rows = cut_lineage(
-        B.event_panel(spark, sf, scores=True).join(CO.split_sites(B.events(spark, sf), B.EVENTS), B.EVENTS.key)
-        .filter(F.col("split").isin("b_train", "b_eval"))
-        .select(*B.ENTITY, "hour", "label", "score", "n_events", "n72", "ecum", "split")
-    )
+    rows = cut_lineage(curve_rows(spark, sf))
     adapt = rows.filter(F.col("split") == "b_train").drop("split")
     evaluation = rows.filter(F.col("split") == "b_eval").drop("split")
     return transfer_curve(adapt, evaluation, B.EVENTS, ["n_events", "n72", "ecum"], B.FROZEN["A"], modes=modes)

@@ -181,3 +181,32 @@ def test_rows_are_not_shuffled_by_model_for_their_threshold(spark):
     plan = study_matrix(scored, SPEC)._jdf.queryExecution().optimizedPlan().toString()
     joined = [line for line in plan.splitlines() if "Join" in line and "model" in line]
     assert any("rightHint=(strategy=broadcast)" in line for line in joined)
+
+
+def test_rows_of_the_curve_are_not_broadcast(spark, design):
+    """Hours are made from few readings, and stored ones take few bytes; only the draws go to the driver."""
+    from stayline.operators import transfer as TR
+    from stayline.plans import q_compare
+    from tests.conftest import TESTDATA
+    from tests.test_features import broadcast_generators
+
+    assert broadcast_generators(q_compare.curve_rows(spark, TESTDATA)) == []
+    drawn = curve_draws(design, SPEC, (3, 10), 2)
+    plan = TR.of_draws(design, drawn, SPEC)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+
+
+def test_recalibration_makes_rows_of_draws_after_its_joins(spark, design):
+    """Rows are found their calibrated scores once, not once a draw; a null score stays a row."""
+    from stayline.operators import transfer as TR
+
+    adapt, evaluation = design.filter("site = 'A'"), design.filter("site = 'B'")
+    drawn = curve_draws(adapt, SPEC, (3,), 2)
+    one = evaluation.limit(1).withColumn("score", F.lit(None).cast("double"))
+    asked = M.with_onset(evaluation.unionByName(one), SPEC.key, name=TR.ONSET)
+    got = TR.recalibrated(adapt, asked, drawn, SPEC, [(3, 0), (3, 1)])
+    n = evaluation.count() + 1
+    assert {(r["n"], r["draw"]): r["count"] for r in got.groupBy("n", "draw").count().collect()} == {(3, 0): n, (3, 1): n}
+    assert got.filter("score IS NULL").count() == 2
+    top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(line for line in top if "Join" in line or "Generate" in line).strip(" :+-").startswith("Generate")
