@@ -64,14 +64,15 @@ def of_draws(adapt: DataFrame, drawn: DataFrame, spec: PanelSpec) -> DataFrame:
 def recalibrated(adapt: DataFrame, evaluation: DataFrame, drawn: DataFrame, spec: PanelSpec, cells: Sequence[tuple[int, int]]) -> DataFrame:
     """(n, draw, key, hour, label, _onset, score) of `evaluation`, calibrated on the rows of each draw; all draws in the same jobs.
 
-    Distinct scores are calibrated for all draws first, and a row becomes one for
-    each draw after it has found those of its score.
+    Distinct scores are calibrated for all draws first and stored, so that what reads
+    the rows has no plan of the calibration in it; a row becomes one for each draw
+    after it has found those of its score.
     """
     by = ["n", "draw"]
     pools = fit_pools(of_draws(adapt.select(*spec.key, "score", "label"), drawn, spec), keys=by)
     every = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("draw")) for n, d in cells])
     asked = evaluation.select("score").distinct().select("score", F.col("score").alias("_base"), F.inline(every))
-    each = calibrate(pools, asked, by).groupBy("_base").agg(F.collect_list(F.struct(*by, "score")).alias("_draws"))
+    each = cut_lineage(calibrate(pools, asked, by).groupBy("_base").agg(F.collect_list(F.struct(*by, "score")).alias("_draws")))
     rows = evaluation.select(*spec.key, "hour", "label", ONSET, F.col("score").alias("_base"))
     return join_groups(rows, each, ["_base"], "left").select(*spec.key, "hour", "label", ONSET, F.inline("_draws"))
 

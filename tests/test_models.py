@@ -210,3 +210,4 @@ def test_recalibration_makes_rows_of_draws_after_its_joins(spark, design):
     assert got.filter("score IS NULL").count() == 2
     top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert next(line for line in top if "Join" in line or "Generate" in line).strip(" :+-").startswith("Generate")
+    assert "Window" not in "".join(top)  # the calibration is stored: three readers would plan and run it three times
