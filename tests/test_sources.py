@@ -281,3 +281,17 @@ def test_stages_are_built_once_for_the_same_input(spark, tmp_path):
     assert stages.read_stage(spark, root, names[0]) is None
     assert stages.release(spark, root, 1) == [] and set(stages.release(spark, root, 0, keep=names[1:])) >= {names[0]}
     assert set(names[1:]) == set(stages.files.names(spark, root))
+
+
+def test_records_that_are_alike_are_stored_side_by_side(spark, tmp_path):
+    """Pages chosen by columns that follow from the key: loads stay the same, and rows are dealt out once, by page."""
+    path = str(tmp_path / "near")
+    rows = lambda lo, hi: spark.range(lo, hi).select(F.format_string("k%d", "id").alias("key"), F.floor(F.col("id") / 10).alias("n"))
+    near = [F.col("n")]
+    placed = sink._placed(rows(0, 300), "key", 8, 2, near)
+    assert placed.groupBy("n").agg(F.countDistinct("_page").alias("p")).agg(F.max("p")).first()[0] == 1
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(_page" in plan
+    load = lambda lo, hi: sink.load(rows(lo, hi), path, buckets=8, pages=2, near=near)[0].count()
+    assert (load(0, 200), load(100, 300), load(0, 300)) == (200, 100, 0)
+    assert sorted(r["key"] for r in sink.stored(spark, path, "key string, n bigint").collect()) == sorted(f"k{i}" for i in range(300))
